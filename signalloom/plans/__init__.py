@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text_plans"]
+MODULES = ["text_plans", "gate_plans"]
 
 
 def load():

@@ -126,6 +126,22 @@ BINDINGS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("status", "CASE WHEN turn = 0 THEN 'new' WHEN turn = 1 THEN 'replied' WHEN turn = 2 THEN 'lead' ELSE 'ignored' END"),
         ],
     ),
+    # Threads about getting paid, told from orders.
+    "threads": (
+        "orders JOIN customer ON o_custkey = c_custkey",
+        [
+            ("post_id", "o_orderkey"),
+            ("channel", "CASE WHEN o_orderkey % 3 = 0 THEN 'indiatax' ELSE lower(c_mktsegment) END"),
+            ("comment", "o_orderstatus = 'P'"),
+            ("title", "CASE o_orderpriority WHEN '1-URGENT' THEN 'PayPal froze my account, which alternative?' WHEN '2-HIGH' THEN 'How to receive international payments' "
+             "WHEN '3-MEDIUM' THEN 'Feedback wanted on my app' WHEN '5-LOW' THEN 'Weekend plans' ELSE concat('Swift fees for ', c_name) END"),
+            ("body", "concat(CASE WHEN c_acctbal > 5000 THEN 'We are an Indian saas startup. ' WHEN c_acctbal > 2000 THEN 'I sell handicraft abroad from Jaipur! ' ELSE 'Just asking. ' END, "
+             "CASE WHEN o_orderstatus = 'F' THEN 'Our foreign clients pay by swift and Stripe is stuck? ' WHEN o_orderstatus = 'O' THEN 'Wise and  Lemon Squeezy take a 3% fee. ' ELSE 'Nothing new here. ' END, "
+             "CASE WHEN o_totalprice > 400000 THEN 'Need it asap. Crypto maybe.' WHEN o_totalprice < 50000 THEN 'My credit card was declined on a trip.' ELSE 'Thanks' END)"),
+            ("published_us", f"{AS_OF_SIGNALS_US} - (o_orderkey % 40) * {DAY_US}"),
+            ("status", "CASE o_orderstatus WHEN 'F' THEN 'new' WHEN 'O' THEN 'replied' ELSE 'lead' END"),
+        ],
+    ),
     # One row per vote: labels as feedback on the item's source.
     "votes": (
         "labels JOIN documents USING (doc_id)",
