@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text_plans", "gate_plans"]
+MODULES = ["text_plans", "gate_plans", "dedup_plans"]
 
 
 def load():

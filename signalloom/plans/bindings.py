@@ -105,7 +105,7 @@ BINDINGS: dict[str, tuple[str, list[tuple[str, str]]]] = {
              "WHEN '3-MEDIUM' THEN concat(c_name, ' launches export desk in Dubai') "
              "WHEN '5-LOW' THEN concat('Rs ', CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING), ' Cr revenue at ', c_name, ' as sensex falls') "
              "ELSE concat('Why ', c_name, ' likes PayPal fees') END"),
-            ("summary", "concat('Deal at Rs ', CAST(CAST(floor(o_totalprice / 3000) AS BIGINT) AS STRING), ' Cr valuation. The round of $', CAST(CAST(floor(o_totalprice / 20000) AS BIGINT) AS STRING), ' million was led by ', n_name, ' Partners. A team of ', CAST(CAST(floor(o_totalprice / 400) AS BIGINT) AS STRING), ' people works in India.')"),
+            ("summary", "concat(CASE WHEN o_orderstatus = 'F' THEN 'Deal at Rs ' ELSE 'Deal at USD ' END, CAST(CAST(floor(o_totalprice / 3000) AS BIGINT) AS STRING), CASE WHEN o_orderstatus = 'F' THEN ' Cr valuation. ' ELSE ' Mn valuation. ' END, CASE WHEN o_orderstatus = 'P' THEN 'The deal of $' ELSE 'The round of $' END, CAST(CAST(floor(o_totalprice / 20000) AS BIGINT) AS STRING), CASE WHEN o_orderstatus = 'P' THEN ' million is near ' ELSE ' million was led by ' END, n_name, ' Partners. A team of ', CAST(CAST(floor(o_totalprice / 400) AS BIGINT) AS STRING), CASE WHEN o_totalprice > 300000 THEN ' people works in India.' ELSE ' people works there.' END)"),
             ("company_name", "c_name"),
             ("kind", "CASE WHEN o_orderstatus = 'P' THEN 'hits' ELSE 'rss' END"),
             ("category", "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'intel' ELSE 'leads' END"),
