@@ -40,9 +40,20 @@ def phrases(literals: list[str]) -> str:
     return words([quote(x) for x in literals])
 
 
+def plain_words(text: Column) -> Column:
+    """Text whose non-ASCII letters and digits became symbols.
+
+    On such text the JVM's own ``\\b`` is an ASCII boundary, which tests about twice
+    as fast as the spelled-out one.  Pure ASCII text is returned untouched.
+    """
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(
+        F.regexp_replace(text, r"[\p{L}\p{N}\p{M}&&[^A-Za-z0-9]]", "¤")
+    )
+
+
 def matches(col: Column, pattern: str) -> Column:
     """Case-insensitive test with a literal pattern; null text does not match."""
-    return F.coalesce(col, F.lit("")).rlike("(?i)" + ascii_regex(pattern))
+    return plain_words(F.coalesce(col, F.lit(""))).rlike("(?i)" + pattern)
 
 
 def extract(col: Column, pattern: str, group: int = 0, ignore_case: bool = True) -> Column:

@@ -46,8 +46,10 @@ def duck(sf_dir):
 
 
 def check(spark, con, sf_dir, name, fn, sql):
+    t0 = time.time()
     df = fn(spark, sf_dir)
     cols, got = rows(df.columns, [tuple(r) for r in df.collect()])
+    spent = time.time() - t0
     if sql is None:
         return True, f"{len(got)} rows, no twin"
     cur = con.execute(sql)
@@ -57,7 +59,7 @@ def check(spark, con, sf_dir, name, fn, sql):
     if got != want:
         bad = [(a, b) for a, b in zip(got, want) if a != b][:3]
         return False, f"{len(got)} vs {len(want)} rows; first differences {bad}"
-    return True, f"{len(got)} rows equal"
+    return True, f"{len(got)} rows equal (spark {spent:.1f}s)"
 
 
 def session(cores="8"):
