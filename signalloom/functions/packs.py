@@ -23,6 +23,7 @@ class Rule:
 @dataclass(frozen=True)
 class RulePack:
     rules: tuple[Rule, ...]
+    union: str | None = None  # one pattern that matches whenever any rule does
 
     @staticmethod
     def of(table: dict[str, str]) -> "RulePack":
@@ -30,7 +31,7 @@ class RulePack:
 
     @staticmethod
     def of_phrases(literals: list[str]) -> "RulePack":
-        return RulePack(tuple(Rule(x, phrases([x])) for x in literals))
+        return RulePack(tuple(Rule(x, phrases([x])) for x in literals), phrases(literals))
 
     # -- expressions ------------------------------------------------------
     def first(self, text: Column, default: str | None = None) -> Column:
@@ -50,14 +51,15 @@ class RulePack:
         return F.create_map(*pairs)
 
     def any(self, text: Column) -> Column:
-        return matches(text, "|".join(f"(?:{r.pattern})" for r in self.rules))
+        return matches(text, self.union or "|".join(f"(?:{r.pattern})" for r in self.rules))
 
     def mask(self, text: Column) -> Column:
         """Bit i is set when rule i matches; combine across rows with ``bit_or``."""
         out = F.lit(0).cast("bigint")
         for i, r in enumerate(self.rules):
             out = out + F.when(matches(text, r.pattern), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        return out
+        # Most texts match nothing: one combined test spares them the single ones.
+        return F.when(self.any(text), out).otherwise(F.lit(0).cast("bigint"))
 
     def labels_of_mask(self, mask: Column) -> Column:
         return F.array_compact(

@@ -36,8 +36,11 @@ def classify_intel(
     own_brand_except: str | None = None,
     region: str = fp.INTEL_REGION,
     noise: list[str] | None = None,
+    keep_all: bool = False,
 ) -> DataFrame:
-    """Adds ``verdict`` struct(category, importance, topic, advice); null means drop.
+    """Adds ``verdict`` struct(category, importance, topic, advice) and drops items without one.
+
+    ``keep_all`` keeps them with a null verdict.
 
     Order: own brand, noise (title; also body for regulator sources), import-only
     stories, competitors in action, region gate (regulators exempt), first topic
@@ -66,4 +69,7 @@ def classify_intel(
         .when(~regulator & ~matches(text, region), drop)
         .when(v.isNotNull(), _row(v["category"], v["importance"], v["topic"], v["advice"]))
     )
-    return items.withColumn("verdict", chain)
+    if keep_all:
+        return items.withColumn("verdict", chain)
+    # A generator evaluates the chain once; a filter would repeat it for the test and the output.
+    return items.select("*", F.explode(F.array_compact(F.array(chain))).alias("verdict"))

@@ -43,7 +43,7 @@ v AS (SELECT *, CASE
 
 @query("classify_intel", f"WITH {_INTEL_CTE} SELECT item_id, verdict FROM v WHERE verdict IS NOT NULL")
 def _(t):
-    v = intel.classify_intel(t.spread(t.headlines, "orders")).where("verdict IS NOT NULL")
+    v = intel.classify_intel(t.spread(t.headlines, "orders"))
     return v.select("item_id", F.concat_ws("/", "verdict.category", F.col("verdict.importance").cast("string"), "verdict.topic").alias("verdict"))
 
 
@@ -69,7 +69,7 @@ SELECT coalesce(CASE WHEN reason IS NULL THEN category END, 'dropped') AS route,
 
 @query("prefilter", _PREFILTER)
 def _(t):
-    v = intel.classify_intel(t.spread(t.headlines, "orders")).withColumn("intel_pass", F.col("verdict").isNotNull())
+    v = intel.classify_intel(t.spread(t.headlines, "orders"), keep_all=True).withColumn("intel_pass", F.col("verdict").isNotNull())
     p = gates.prefilter(v)
     return p.groupBy(F.coalesce("route", F.lit("dropped")).alias("route"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
