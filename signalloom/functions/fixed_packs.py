@@ -209,3 +209,34 @@ LOOKALIKE_SEGMENTS = {
     "Marketplace": "marketplace",
 }
 LOOKALIKE_DEFAULT = "startup"
+
+# --- fixed values: people in text --------------------------------------------
+PERSON_NAME = r"[A-Z][a-z]+(?:[ -](?:[A-Z][a-z]+|[A-Z]\.?(?=\s))){1,2}(?![\w-])"
+PERSON_ROLE = (
+    r"(?:(?:[Aa]ssistant |[Ss]enior |[Ee]xecutive )?(?:Vice President|VP)(?:\s*[-–,]\s*[A-Z][a-z]+(?:\s*(?:&|and)\s*[A-Z][a-z]+| [A-Z][a-z]+)?)?"
+    r"|[Cc]o-?[Ff]ounder|[Ff]ounder|CEO|CTO|COO|CFO|CMO|CPO|CBO|[Cc]hief [A-Z]?[a-z]+ [Oo]fficer|[Mm]anaging [Dd]irector|MD"
+    r"|[Hh]ead of [A-Z]?[a-z]+(?: [A-Z]?[a-z]+)?|VP,? [A-Z][a-z]+|[Pp]resident|[Cc]hairman)"
+)
+PERSON_DEPARTMENT = r"(?:Finance|Accounts|Treasury|Payments|Sales|Ad Sales|Marketing|Growth|Revenue|Partnerships|Business Development|Strategy|Operations|Engineering|Technology|Product|E-?commerce|Digital|Exports?|International Business|Global Business|HR|People|Legal|Compliance|Risk)"
+PERSON_ORGS = r"\b(Technologies|Technology|Pvt|Ltd|Limited|Inc|LLC|Labs|Solutions|Products|Systems|Ventures|Capital|Partners|Group|Industries|Enterprises|Corp|Company|Studio|Media|Foods|Brands)\b"
+PERSON_ORGS_MORE = r"\b(Initiative|Foundation|Network|Association|Council|Mobility|Energy|Motors|Pharma|Healthcare|Infra)\b"
+NOT_A_NAME = (
+    "Founder Co Cofounder Ceo Cto India Indian Ventures Venture Capital Partners Partner Fund Funds Labs Lab Technologies Technology Tech Private Limited "
+    "Bengaluru Bangalore Mumbai Delhi Gurugram Gurgaon Noida Pune Hyderabad Chennai Kolkata Jaipur Ahmedabad Series Seed Round Angel Network Group Global Holdings "
+    "The This That Its Their Our His Her Said Says Also Startup Company Inc Media News Today Read More Team Board Advisor Investor Investors Family Office "
+    "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
+    "Managing Director Chief Officer Head President Chairman Executive Vice Assistant Senior Junior Lead Manager Engineer Consultant Sales Marketing "
+    "Business School University College Institute Chartered Accountant Doctor Resident Professor Prof Dr Mr Ms Mrs Ex Former Associate Analyst Intern "
+    "Operations Finance Product Engineering Growth Strategy Design Legal Human Resources People Talent Customer Success Support Admin Meet Join"
+).split()
+INVESTOR_BEFORE = r"investor|angel|participation from|participated|backed by|led by|along with|alongside|including|family office|venture partner|general partner"
+INVESTOR_NEAR = r"investors? includ(?:e|ing)|participation from"
+FOUNDED_BY = r"(?:[Ff]ounded|[Cc]o-founded|[Ss]tarted|[Ss]et up|[Ee]stablished)\s+(?:in\s+\d{4}\s+)?by\s+"
+FOUNDER_LEAD_IN = r"former\s+[\w ]+?\s+executives?|IIT[\w ]*?alumni|serial entrepreneurs?"
+TEAM_PATTERNS = [
+    r"\b(?:team|workforce|headcount|staff) of (?:about |around |over |more than |nearly |close to |~)?(\d[\d,]*)\+?",
+    r"\b(\d[\d,]*)\+?[- ](?:member|people|person|strong)\b",
+    r"\b(?:employs|employing|employ) (?:about |around |over |more than |nearly |close to )?(\d[\d,]*)",
+    r"\b(\d[\d,]*)\+? (?:employees|full-time employees|staff members|team members)\b",
+]
+TEAM_MIN, TEAM_MAX = 2, 200000

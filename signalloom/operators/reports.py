@@ -49,11 +49,16 @@ def sector_stats(companies: DataFrame) -> DataFrame:
     return s.orderBy(F.desc("n"), "sector")
 
 
+def _labelled(name: str):
+    """Array element -> (facet, value) pair."""
+    return lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value"))
+
+
 def facet_counts(rows: DataFrame, facets: dict[str, Column]) -> DataFrame:
     """(facet, value, n) for scalar and array facets in one pass over the rows."""
     entries = []
     for name, col in facets.items():
-        entries.append(F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda v, name=name: F.struct(F.lit(name).alias("facet"), v.alias("value"))))
+        entries.append(F.transform(F.coalesce(col, F.array().cast("array<string>")), _labelled(name)))
     return rows.select(F.explode(F.concat(*entries)).alias("e")).where("e.value IS NOT NULL").groupBy("e.facet", "e.value").agg(F.count("*").alias("n"))
 
 
@@ -74,7 +79,7 @@ def cross_filter_facets(rows: DataFrame, filters: dict[str, Column], values: dic
         for other, pred in filters.items():
             if other != name:
                 ok = ok & pred
-        entry = F.transform(vals, lambda v, name=name: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+        entry = F.transform(vals, _labelled(name))
         entries.append(F.when(ok, entry).otherwise(F.array().cast("array<struct<facet:string,value:string>>")))
     return rows.select(F.explode(F.concat(*entries)).alias("e")).groupBy("e.facet", "e.value").agg(F.count("*").alias("n"))
 

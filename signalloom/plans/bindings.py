@@ -71,6 +71,11 @@ BINDINGS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("ships_abroad", "c_acctbal > 8500"),
             ("locales", "CASE WHEN c_acctbal > 9500 THEN 3 ELSE 0 END"),
             ("platform", "CASE WHEN c_acctbal > 5000 THEN 'Shopify' END"),
+            # A stored score, for queries that only read it.
+            ("stored_score", "CAST(floor(abs(c_acctbal) / 100) AS INT)"),
+            ("last_event_us", f"{AS_OF_SIGNALS_US} - (c_custkey % 60) * {DAY_US} + c_nationkey * 60000000"),
+            ("people_checked_us", f"CASE WHEN c_acctbal > 6000 THEN {AS_OF_SIGNALS_US} END"),
+            ("why", "concat('likes ', lower(c_mktsegment))"),
         ],
     ),
     "signals": (
@@ -114,6 +119,53 @@ BINDINGS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("url", "concat('https://www.news.example.com/o/', CAST(o_orderkey AS STRING), '/?utm_source=x')"),
         ],
     ),
+    "intel": (
+        "documents",
+        [
+            ("intel_id", "doc_id"),
+            ("source_id", "source"),
+            ("category", "CASE lang WHEN 'en' THEN 'market' WHEN 'fr' THEN 'regulatory' WHEN 'de' THEN 'competitor' ELSE 'voice' END"),
+            ("title", "regexp_replace(text, '(?s)\n.*', '')"),
+            ("advice", "concat('see ', source)"),
+            ("topic", "CASE WHEN n_chars % 4 = 0 THEN NULL ELSE concat('topic', CAST(n_chars % 4 AS STRING)) END"),
+            ("importance", "CAST(1 + n_chars % 3 AS INT)"),
+            ("score", "CAST(n_chars % 101 AS INT)"),
+            ("status", "CASE WHEN n_chars % 5 = 0 THEN 'replied' WHEN n_chars % 5 = 1 THEN 'lead' ELSE 'new' END"),
+            ("item_status", "CASE WHEN n_chars % 7 = 0 THEN 'filtered' WHEN n_chars % 7 = 1 THEN 'dup' WHEN n_chars % 7 = 2 THEN 'new' ELSE 'done' END"),
+            ("via", "CASE WHEN n_chars % 7 < 3 THEN NULL WHEN n_chars % 7 = 3 THEN 'structured' ELSE 'rules' END"),
+            ("segment", "CASE WHEN n_chars % 6 = 0 THEN NULL ELSE concat('seg', CAST(n_chars % 6 AS STRING)) END"),
+            ("intents", "CASE WHEN n_chars % 3 = 0 THEN ARR('fees', 'setup') WHEN n_chars % 3 = 1 THEN ARR('blocked') ELSE ARR() END"),
+            ("published_us", f"CASE WHEN n_chars % 17 = 0 THEN NULL ELSE {AS_OF_US} - (doc_id % 40) * {DAY_US} - n_chars * 1000000 END"),
+            ("created_us", f"{AS_OF_US} - (doc_id % 9) * 10800000000 - doc_id * 1000"),
+        ],
+    ),
+    "sources": (
+        "supplier",
+        [
+            ("source_id", "concat('src', CAST(s_suppkey AS STRING))"),
+            ("name", "s_name"),
+            ("enabled", "s_acctbal > 500"),
+            ("category", "CASE WHEN s_nationkey < 8 THEN 'leads' WHEN s_nationkey < 16 THEN 'intel' ELSE 'voice' END"),
+            ("created_by", "CASE WHEN s_nationkey > 12 THEN 'agent' ELSE 'system' END"),
+            ("last_status", "CASE WHEN s_acctbal > 9000 THEN 'error' ELSE 'ok' END"),
+            ("cadence_min", "60 + CAST(s_nationkey AS INT)"),
+            ("min_cadence", "50"),
+            ("max_cadence", "100"),
+            ("leads_total", "CASE WHEN s_acctbal > 4000 THEN 1 ELSE 0 END"),
+            ("extended", "s_nationkey > 20"),
+            ("next_run_us", f"CASE WHEN s_nationkey = 3 THEN NULL ELSE {AS_OF_US} + CAST(floor(s_acctbal - 5000) AS BIGINT) * 1000000 END"),
+            ("expires_us", f"{AS_OF_US} + CAST(floor(s_acctbal - 6000) AS BIGINT) * 1000000"),
+        ],
+    ),
+    "runs": (
+        "events",
+        [
+            ("run_id", "event_id"),
+            ("source_id", "concat('src', CAST(user_id % 40 AS STRING))"),
+            ("status", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END"),
+            ("new_items", "CASE WHEN user_id % 40 < 10 THEN 0 ELSE CAST(floor(value) AS INT) END"),
+        ],
+    ),
     "posts": (
         "conversations",
         [
