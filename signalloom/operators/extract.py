@@ -15,6 +15,7 @@ from ..functions.regex import ascii_regex, extract, matches, phrases, words
 from ..functions.text import clip_text, domain_of, norm_stage, parse_money, raise_amount, strip_own_name
 from .gates import is_enterprise, plausible_name
 from .people import team_size
+from .state import once
 
 SECTOR_PACK = RulePack.of(fp.SECTORS)
 MARKET_PACK = RulePack.of(fp.MARKETS)
@@ -53,11 +54,9 @@ def headline_leads(items: DataFrame, competitors=None, positive=None, enterprise
     inv = (rf"\b(?:{fp.INVESTOR_VERBS})\b.*?\b(?:{fp.INVESTOR_TARGETS})\s+"
            r"([A-Z][\w.&'’-]*(?:\s+[A-Z][\w.&'’-]*){0,2})")
     show = r"^Show HN:\s*(.+?)\s*(?:\s[–—-]\s|:|,|$)"
-    df = items.select("*", text.alias("text")).withColumns({
-        "f_head": extract(title, fund, 1), "f_verb": extract(title, fund, 2),
-        "e_head": extract(title, grow, 1), "e_verb": extract(title, grow, 2),
-        "i_name": extract(title, inv, 1, ignore_case=False), "s_name": extract(title, show, 1, ignore_case=False),
-    })
+    df = once(
+        items, text=text, f_head=extract(title, fund, 1), f_verb=extract(title, fund, 2), e_head=extract(title, grow, 1),
+        e_verb=extract(title, grow, 2), i_name=extract(title, inv, 1, ignore_case=False), s_name=extract(title, show, 1, ignore_case=False))
     raising = matches(F.col("f_verb"), fp.FUNDING_VERB_STEMS)
     money = F.coalesce(parse_money(title), F.lit(0.0)) != 0
     is_fund = F.col("f_verb").isNotNull() & raising & (money | matches(F.col("text"), fv.STAGE_PATTERN) | matches(F.col("text"), fp.ROUND_WORDS))
@@ -66,19 +65,20 @@ def headline_leads(items: DataFrame, competitors=None, positive=None, enterprise
     is_grow = F.col("e_verb").isNotNull() & abroad & ~matches(F.col("e_verb"), "acquires|partners")
     # A plain if-chain: the first shape that applies decides, even when its name fails later.
     shape = F.when(is_fund, "fund").when(is_inv, "inv").when(is_grow, "grow").when(F.col("s_name").isNotNull(), "show")
-    df = df.withColumn("shape", shape).where("shape IS NOT NULL")
+    df = once(df, shape=shape).where("shape IS NOT NULL")
     raw = F.when(F.col("shape") == "fund", F.col("f_head")).when(F.col("shape") == "inv", F.col("i_name")).otherwise(F.col("e_head"))
-    df = df.withColumn("name", F.when(F.col("shape") == "show", F.trim("s_name")).otherwise(clean_head(raw)))
+    df = once(df, raw_head=raw)
+    df = once(df, name=F.when(F.col("shape") == "show", F.trim("s_name")).otherwise(clean_head(F.col("raw_head"))))
     df = df.where(F.coalesce(plausible_name(F.col("name"), blocklist, competitors), F.lit(False)))
     kind = (
         F.when(F.col("shape").isin("fund", "inv"), "funding").when(F.col("shape") == "show", "launch")
         .when(matches(F.col("e_verb"), "launches$"), "launch").otherwise("expansion")
     )
-    df = df.withColumn("type", kind)
+    df = once(df, type=kind, bare=strip_own_name(F.col("text"), F.col("name")))
     funding = F.col("type") == "funding"
-    df = df.withColumn("amount_text", F.when(funding, F.coalesce(raise_amount(title), raise_amount(summary))))
-    df = df.withColumn("amount_usd_m", parse_money(F.col("amount_text"))).withColumn("bare", strip_own_name(F.col("text"), F.col("name")))
-    found = detect_markets(F.col("bare"))
+    df = once(df, amount_text=F.when(funding, F.coalesce(raise_amount(title), raise_amount(summary))))
+    df = once(df, amount_usd_m=parse_money(F.col("amount_text")), found=detect_markets(F.col("bare")))
+    found = F.col("found")
     ordered = F.concat(F.array_remove(found, fp.GLOBAL_MARKET), F.filter(found, lambda m: m == fp.GLOBAL_MARKET))
     led = F.trim(extract(F.col("text"), r"led by ([A-Z][^,.;()]+?)(?:,|\.|;| and | with | along| alongside| to |$)", 1, ignore_case=False))
     big = is_enterprise(F.col("name"), enterprise) | (F.coalesce("amount_usd_m", F.lit(0.0)) > 150) | matches(F.col("text"), fp.LISTED_WORDS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -19,3 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the lineage ends here and the rows survive a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that later steps may use freely.
+
+    A generator evaluates them exactly once per row.  Plain projections would be
+    merged into, and filters pushed below, each other, which repeats a costly regex
+    for every mention of its result.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))

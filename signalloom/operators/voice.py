@@ -11,6 +11,7 @@ from ..functions.numeric import clamp, older_than
 from ..functions.packs import RulePack
 from ..functions.regex import ascii_regex, extract, matches, words
 from .gates import item_text
+from .state import once
 
 INTENTS = RulePack.of(fp.POST_INTENTS)
 SEGMENTS = RulePack.of(fp.POST_SEGMENTS)
@@ -41,11 +42,9 @@ def voice_gate(posts: DataFrame, core: str = fp.POST_CORE, region: str = fp.POST
     """
     title = F.coalesce(F.col("title"), F.lit(""))
     text = item_text(title, F.col("body"))
-    df = posts.withColumn("text", text).withColumn("focus", focus_text(title, text, core))
+    df = once(once(posts, text=text), focus=focus_text(title, F.col("text"), core))
     text, focus = F.col("text"), F.col("focus")
-    df = df.withColumn(
-        "receive", matches(focus, fp.POST_RECEIVE) & ~matches(text, fp.POST_NO_RECEIVE)
-    ).withColumn("business", matches(text, fp.POST_BUSINESS))
+    df = once(df, receive=matches(focus, fp.POST_RECEIVE) & ~matches(text, fp.POST_NO_RECEIVE), business=matches(text, fp.POST_BUSINESS))
     off = matches(title, fp.POST_OFFTOPIC) | matches(F.substring(text, 1, 400), fp.POST_OFFTOPIC) | matches(title, fp.POST_PROMO_TITLE)
     in_region = matches(F.col("channel"), channels) | matches(text, region)
     need = F.when(F.col("comment"), 1).otherwise(2)
@@ -56,7 +55,7 @@ def voice_gate(posts: DataFrame, core: str = fp.POST_CORE, region: str = fp.POST
         & (F.col("receive") | F.col("business"))
         & ~(matches(focus, fp.POST_CONSUMER) & ~F.col("receive"))
     )
-    return df.withColumn("voice_pass", F.coalesce(passed, F.lit(False)))
+    return once(df, voice_pass=F.coalesce(passed, F.lit(False)))
 
 
 def providers_of(text: Column, providers: list[str] | None = None) -> Column:
@@ -71,8 +70,8 @@ def voice_tags(posts: DataFrame, intents: RulePack = INTENTS, segments: RulePack
     """Adds intents, main intent, segment, fit, providers, unhappy and restricted.  Needs text, focus."""
     text, focus = F.col("text"), F.col("focus")
     fit_of = segment_fit or fp.POST_SEGMENT_FIT
-    df = posts.withColumn("providers", providers_of(text)).withColumn("rule_intents", intents.all(focus))
-    df = df.withColumn("unhappy", (F.size("providers") > 0) & matches(focus, fp.POST_UNHAPPY))
+    df = once(posts, providers=providers_of(text), rule_intents=intents.all(focus))
+    df = once(df, unhappy=(F.size("providers") > 0) & matches(focus, fp.POST_UNHAPPY))
     df = df.withColumn(
         "intents",
         F.when(F.col("unhappy"), F.array_append("rule_intents", F.lit(fp.POST_INTENT_COMPLAINT))).otherwise(F.col("rule_intents")),
@@ -117,7 +116,7 @@ def score_voice(posts: DataFrame, as_of: Column, parts: dict[str, Column] | None
         total = total + F.when(on, points[k]).otherwise(0)
     stale = older_than(F.col(date), as_of, fv.VOICE_STALE_DAYS)
     total = total + F.when(stale, fv.VOICE_STALE_POINTS).otherwise(0)
-    df = posts.withColumn("score", clamp(total, 0, 100).cast("int")).withColumn("band", band_of(F.col("score")))
+    df = once(posts, score=clamp(total, 0, 100).cast("int")).withColumn("band", band_of(F.col("score")))
     df = df.withColumn("importance", F.when(F.col("band") == "high", 3).when(F.col("band") == "research", 2).otherwise(1))
     return df.withColumn("fired", F.array_compact(F.array(*[F.when(on, F.lit(k)) for k, on in parts.items()])))
 
