@@ -174,7 +174,7 @@ def _bios(t):
 
 @query("people_mentions")
 def _(t):
-    return people.people_mentions(_bios(t)).select("doc_id", "name", "role", "evidence", "position")
+    return people.people_mentions(t.spread(_bios(t), "lineitem")).select("doc_id", "name", "role", "evidence", "position")
 
 
 @query("team_size_mentions", f"""
@@ -366,11 +366,11 @@ def _metrics(t):
 
 @query("traction_countries", f"""
 WITH {_TR}, c AS (SELECT company_id, country, sum(etv) AS etv, arg_max(language, etv) AS language FROM tr GROUP BY ALL), t AS (SELECT company_id, sum(etv) AS total, sum(CASE WHEN country = 'CHINA' THEN etv ELSE 0 END) AS home FROM c GROUP BY 1)
-SELECT company_id, country, round(c.etv, 1) AS etv, language, round(c.etv / total, 6) AS share, round(1.0 - home / total, 6) AS foreign_share FROM c JOIN t USING (company_id)
+SELECT company_id, country, round(c.etv, 2) AS etv, language, round(c.etv / total, 6) AS share, round(1.0 - home / total, 6) AS foreign_share FROM c JOIN t USING (company_id)
 """.replace("'CHINA'", "'NATION_2'"))
 def _(t):
     c = traction.traction_countries(_metrics(t), "NATION_2")
-    return c.select("company_id", "country", F.round("etv", 1).alias("etv"), "language", F.round("share", 6).alias("share"), F.round("foreign_share", 6).alias("foreign_share"))
+    return c.select("company_id", "country", F.round("etv", 2).alias("etv"), "language", F.round("share", 6).alias("share"), F.round("foreign_share", 6).alias("foreign_share"))
 
 
 def _history(t):
@@ -384,14 +384,14 @@ g AS (SELECT *, lag(etv, 3) OVER (PARTITION BY company_id ORDER BY month) AS bas
 """
 
 
-@query("traction_trend", f"WITH {_TREND} SELECT company_id, month, round(etv, 1) AS etv, round(CASE WHEN base > 20 THEN (etv - base) / base END, 5) AS growth FROM g")
+@query("traction_trend", f"WITH {_TREND} SELECT company_id, month, round(etv, 2) AS etv, round(CASE WHEN base > 20 THEN (etv - base) / base END, 5) AS growth FROM g")
 def _(t):
-    return traction.traction_trend(_history(t)).select("company_id", "month", F.round("etv", 1).alias("etv"), F.round("growth", 5).alias("growth"))
+    return traction.traction_trend(_history(t)).select("company_id", "month", F.round("etv", 2).alias("etv"), F.round("growth", 5).alias("growth"))
 
 
-@query("traction_keywords", "WITH k AS (SELECT company_id, p_name AS keyword, round(sum(etv), 1) AS etv FROM {traffic} JOIN part ON part_id = p_partkey GROUP BY ALL) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY etv DESC, keyword) <= 10")
+@query("traction_keywords", "WITH k AS (SELECT company_id, p_name AS keyword, round(sum(etv), 2) AS etv FROM {traffic} JOIN part ON part_id = p_partkey GROUP BY ALL) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY etv DESC, keyword) <= 10")
 def _(t):
-    k = t.traffic.join(t.part, F.col("part_id") == F.col("p_partkey")).groupBy("company_id", F.col("p_name").alias("keyword")).agg(F.round(F.sum("etv"), 1).alias("etv"))
+    k = t.traffic.join(t.part, F.col("part_id") == F.col("p_partkey")).groupBy("company_id", F.col("p_name").alias("keyword")).agg(F.round(F.sum("etv"), 2).alias("etv"))
     return traction.traction_keywords(k).select("company_id", "keyword", "etv")
 
 
