@@ -172,14 +172,14 @@ BINDINGS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         [
             ("page_id", "page_id"),
             ("url", "url"),
-            ("html", "replace(html, '</body>', concat("
+            ("html", "concat(html, "
              "CASE WHEN page_id % 3 = 0 THEN '<script src=\"https://js.stripe.com/v3\"></script>' WHEN page_id % 5 = 0 THEN '<script src=\"https://checkout.razorpay.com/v1\"></script><link rel=\"x\" href=\"https://cdn.shopify.com/a.css\">' ELSE '' END, "
              "CASE WHEN page_id % 2 = 0 THEN '<p>Plans from $ 20 or EUR 18. We ship worldwide. Write to sales@shop.example.com or HELLO@shop.example.com</p>' ELSE '<p>Rs 500 only</p>' END, "
              "'<link rel=\"alternate\" hreflang=\"en\"><link rel=\"alternate\" hreflang=\"fr\"><a href=\"/about?x=1\">About us</a><a href=\"/our-team\">Team</a><a href=\"/pricing\">Pricing</a>', "
              "'<a href=\"https://www.linkedin.com/company/acme', CAST(page_id AS STRING), '?src=site\">in</a>', "
              "CASE WHEN page_id % 4 = 0 THEN concat('<a href=\"https://boards.greenhouse.io/acme', CAST(page_id AS STRING), '\">Jobs</a>') WHEN page_id % 4 = 1 THEN '<a href=\"https://jobs.lever.co/lever-co\">Jobs</a>' ELSE '' END, "
              "CASE WHEN page_id % 7 = 0 THEN '<p>This domain may be for sale</p>' ELSE '' END, "
-             "concat('<script type=\"application/ld+json\">{\"@graph\": [{\"founder\": [{\"name\": \"Asha Rao\"}], \"numberOfEmployees\": {\"value\": ', CAST(page_id + 2 AS STRING), '}}]}</script></body>')))"),
+             "concat('<script type=\"application/ld+json\">{\"@graph\": [{\"founder\": [{\"name\": \"Asha Rao\"}], \"numberOfEmployees\": {\"value\": ', CAST(page_id + 2 AS STRING), '}}]}</script></body>'))"),
         ],
     ),
     # Search traffic per supplier, told from its sales.

@@ -267,19 +267,19 @@ def _(t):
 
 
 @query("merge_email_results", """
-WITH r AS (SELECT l_orderkey AS cid, arg_max(struct_pack(e := 'p' || CAST(l_partkey AS VARCHAR) || '@x.example.com', v := CASE l_returnflag WHEN 'A' THEN 'verified' WHEN 'N' THEN 'accept_all' ELSE 'unknown' END, t := l_linestatus), l_partkey * 10 + l_linenumber) AS s FROM lineitem GROUP BY 1)
+WITH r AS (SELECT l_orderkey AS cid, arg_max(struct_pack(e := 'p' || CAST(l_partkey AS VARCHAR) || '@x.example.com', v := CASE l_returnflag WHEN 'A' THEN 'verified' WHEN 'N' THEN 'accept_all' ELSE 'unknown' END, t := l_linestatus), CAST(round(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber) AS s FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS contact_id, coalesce(CASE WHEN s.v <> 'unknown' THEN s.e END, CASE WHEN o_totalprice < 60000 THEN 'a@b.example.com' END) AS email, CASE s.v WHEN 'verified' THEN 'verified' WHEN 'accept_all' THEN 'risky' END AS email_status,
  coalesce(CASE o_orderpriority WHEN '1-URGENT' THEN 'Founder & CEO' WHEN '2-HIGH' THEN 'CFO' WHEN '3-MEDIUM' THEN 'Head of Payments' WHEN '5-LOW' THEN 'VP Engineering' END, s.t) AS role FROM orders LEFT JOIN r ON cid = o_orderkey
 """)
 def _(t):
-    r = t.lineitem.select(F.col("l_orderkey").alias("contact_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("p"), "l_partkey", F.lit("@x.example.com")).alias("email"),
+    r = t.lineitem.select(F.col("l_orderkey").alias("contact_id"), (F.round(F.col("l_extendedprice") * 100).cast("bigint") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("p"), "l_partkey", F.lit("@x.example.com")).alias("email"),
                           F.when(F.col("l_returnflag") == "A", "verified").when(F.col("l_returnflag") == "N", "accept_all").otherwise("unknown").alias("verdict"), F.lit(None).cast("string").alias("linkedin"), F.col("l_linestatus").alias("title"))
     c = _contacts(t).withColumns({"email_status": F.lit(None).cast("string"), "linkedin": F.lit(None).cast("string")})
     return people.merge_email_results(c, r).select("contact_id", "email", "email_status", "role")
 
 
 # ---------------------------------------------------------------- sites
-_SITE_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body\b.*'), '(?is)<script\b.*?</script>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_SITE_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<body\b.*'), ''), html), '(?is)<script\b.*?</script>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query("site_fingerprint", f"""
