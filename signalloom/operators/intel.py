@@ -73,3 +73,9 @@ def classify_intel(
         return items.withColumn("verdict", chain)
     # A generator evaluates the chain once; a filter would repeat it for the test and the output.
     return items.select("*", F.explode(F.array_compact(F.array(chain))).alias("verdict"))
+
+
+def rebuild_intel(items: DataFrame, status_log: DataFrame, key: str, **rules) -> DataFrame:
+    """Judge every stored item again after a rules change; triage status survives by key."""
+    judged = classify_intel(items, **rules)
+    return judged.join(status_log.select(key, "status").dropDuplicates([key]), key, "left").withColumn("status", F.coalesce("status", F.lit("new")))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text_plans", "gate_plans", "dedup_plans", "resolve_plans", "score_plans", "report_plans", "extract_plans"]
+MODULES = ["text_plans", "gate_plans", "dedup_plans", "resolve_plans", "score_plans", "report_plans", "extract_plans", "stream_plans"]
 
 
 def load():
