@@ -13,8 +13,9 @@ from ..functions import fixed_packs as fp
 from ..functions import fixed_values as fv
 from ..functions.numeric import older_than
 from ..functions.packs import RulePack
-from ..functions.regex import ascii_regex, matches, words
+from ..functions.regex import matches, words
 from ..functions.text import norm_name
+from .state import once
 
 GATE_PACK = RulePack.of(fp.GATE_RULES)
 
@@ -45,7 +46,7 @@ def prefilter(
     structured = F.col("structured") if "structured" in has else F.lit(False)
     intel_ok = F.col("intel_pass") if "intel_pass" in has else F.lit(True)
     voice_ok = F.col("voice_pass") if "voice_pass" in has else F.lit(True)
-    df = items.withColumn("hits", pack.hits(item_text(F.col("title"), F.col("summary"))))
+    df = once(items, hits=pack.hits(item_text(F.col("title"), F.col("summary"))))
     hit = lambda k: F.col("hits")[k]
     intent = hit("funding") | hit("expansion") | hit("launch") | hit("pain")
     assumed = F.coalesce(F.col("assume_region"), F.lit(False)) | F.col("source_id").rlike(assumed_sources)
@@ -62,7 +63,7 @@ def prefilter(
         .when(~intent, reasons["intent"])
         .when(~region, reasons["region"])
     )
-    df = df.withColumn("reason", reason).withColumn("passed", F.col("reason").isNull())
+    df = once(df, reason=reason).withColumn("passed", F.col("reason").isNull())
     return df.withColumn("route", F.when(F.col("passed"), route))
 
 
