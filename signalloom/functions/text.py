@@ -63,7 +63,7 @@ def _decode_numeric(s: Column) -> Column:
 
     parts = F.split(s, "&#")
     decoded = F.concat(
-        parts[0], F.array_join(F.transform(F.slice(parts, 2, F.lit(2147483647)), piece), "")
+        parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), "")
     )
     return F.when(s.contains("&#"), decoded).otherwise(s)
 
