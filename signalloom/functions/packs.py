@@ -11,7 +11,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import matches, phrases
+from .regex import matches, phrases, plain_words
+
+
+def _tester(text: Column):
+    """``test(pattern)`` over a text that is prepared once for all rules of a pack."""
+    plain = plain_words(F.coalesce(text, F.lit("")))
+    return lambda pattern: plain.rlike("(?i)" + pattern)
 
 
 @dataclass(frozen=True)
@@ -36,18 +42,20 @@ class RulePack:
     # -- expressions ------------------------------------------------------
     def first(self, text: Column, default: str | None = None) -> Column:
         """Label of the first rule that matches, in priority order."""
-        tests = [F.when(matches(text, r.pattern), F.lit(r.label)) for r in self.rules]
+        test = _tester(text)
+        tests = [F.when(test(r.pattern), F.lit(r.label)) for r in self.rules]
         return F.coalesce(*tests, F.lit(default).cast("string"))
 
     def all(self, text: Column) -> Column:
         """Labels of all rules that match, in pack order."""
-        return F.array_compact(F.array(*[F.when(matches(text, r.pattern), F.lit(r.label)) for r in self.rules]))
+        test = _tester(text)
+        return F.array_compact(F.array(*[F.when(test(r.pattern), F.lit(r.label)) for r in self.rules]))
 
     def hits(self, text: Column) -> Column:
         """map<rule, boolean>."""
-        pairs = []
+        test, pairs = _tester(text), []
         for r in self.rules:
-            pairs += [F.lit(r.label), matches(text, r.pattern)]
+            pairs += [F.lit(r.label), test(r.pattern)]
         return F.create_map(*pairs)
 
     def any(self, text: Column) -> Column:
@@ -55,9 +63,10 @@ class RulePack:
 
     def mask(self, text: Column) -> Column:
         """Bit i is set when rule i matches; combine across rows with ``bit_or``."""
-        out = F.lit(0).cast("bigint")
+        test, zero = _tester(text), F.lit(0).cast("bigint")
+        out = zero
         for i, r in enumerate(self.rules):
-            out = out + F.when(matches(text, r.pattern), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            out = out + F.when(test(r.pattern), F.lit(1 << i).cast("bigint")).otherwise(zero)
         # Most texts match nothing: one combined test spares them the single ones.
         return F.when(self.any(text), out).otherwise(F.lit(0).cast("bigint"))
 
@@ -96,9 +105,10 @@ class TopicPack:
 
     def verdict(self, title: Column) -> Column:
         """struct(category, importance, topic, advice) of the first topic the title matches."""
+        test = _tester(title)
         tests = [
             F.when(
-                matches(title, t.pattern),
+                test(t.pattern),
                 F.struct(
                     F.lit(t.category).alias("category"), F.lit(t.importance).alias("importance"),
                     F.lit(t.id).alias("topic"), F.lit(t.advice).alias("advice"),

@@ -191,7 +191,7 @@ def _(t):
 
 
 @query("evidence_sentence", r"""
-SELECT item_id, trim(regexp_extract(title || '. ' || summary, '[^.]*led by[^.]*\.?')) AS evidence FROM {headlines}
+SELECT item_id, nullif(trim(regexp_extract(title || '. ' || summary, '[^.]*led by[^.]*\.?')), '') AS evidence FROM {headlines}
 """)
 def _(t):
     return t.headlines.select(
