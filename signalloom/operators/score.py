@@ -19,6 +19,7 @@ from ..functions.packs import RulePack
 from ..functions.regex import matches, phrases
 from ..functions.text import format_money, is_late_stage, strip_own_name
 from .gates import is_enterprise
+from .state import once
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,7 @@ def score_company(companies: DataFrame, signals: DataFrame, as_of: Column, cfg:
         + add(yes("enriched") & foreign, 0.15) + add(yes("enriched") & yes("ships_abroad"), 0.15)
         + add(yes("enriched") & (num("locales") > 1), 0.05)
     )
-    c = c.withColumn("intl", intl)
+    c = once(c, intl=intl)
     has = lambda p: F.exists("providers", lambda x: x.rlike("(?i)" + "|".join(p)))
     cross = has(fv.CROSS_BORDER_PROVIDERS) | yes("m_cross")
     domestic = has(fv.DOMESTIC_PROVIDERS) | yes("m_domestic")
@@ -153,10 +154,9 @@ def score_company(companies: DataFrame, signals: DataFrame, as_of: Column, cfg:
         "enterprise": big, "notInRegion": ~F.coalesce("in_region", F.lit(True)),
         "negativeKeyword": F.col("neg_mask") != 0, "lateStage": yes("late"),
     }
-    c = c.withColumns({
-        **{f"p_{k}": v for k, v in points.items()},
-        **{f"p_{k}": F.when(v, int(cfg.penalties[k])) for k, v in fines.items()},
-    })
+    c = once(
+        c, **{f"p_{k}": v for k, v in points.items()},
+        **{f"p_{k}": F.when(v, int(cfg.penalties[k])) for k, v in fines.items()})
     parts = [F.col(f"p_{k}") for k in points] + [F.coalesce(f"p_{k}", F.lit(0)) for k in fines]
     total = parts[0]
     for p in parts[1:]:
