@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, warczip, wavelet
+from . import langid, mixing, quality, sharding, substrings, warczip, wavelet
 from .common import WORD, keep, table
 
 #: SQL pieces that the twins share.  DuckDB's character class needs no escapes of its own.
@@ -73,6 +73,25 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT doc_id, {SQL_WORDS.format('text')} AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM w WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS f FROM x),
+r AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(generate_series(i, i + 12)) AS j FROM h WHERE f < doc_id) GROUP BY 1),
+k AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda v, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM k
+"""
+
+
+@query("op4_repeated_passages", SUBSTRING_SQL)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["first"]).cast("long")
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op6_shard")
 def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
