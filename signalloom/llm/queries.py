@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, substrings, warczip, wavelet
+from . import langid, minhash, mixing, quality, sharding, substrings, warczip, wavelet
 from .common import WORD, keep, table
 
 #: SQL pieces that the twins share.  DuckDB's character class needs no escapes of its own.
@@ -124,6 +124,23 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *quality.COUNTS, failed.alias("base_failed"), "kept")
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT m.a AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.a = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.a
+"""
+
+
+@query("op9_near_duplicates", NEAR_SQL)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, per_cent=85)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
