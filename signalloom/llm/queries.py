@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, quality, sharding, substrings, warczip, wavelet
+from . import decontam, langid, linededup, minhash, mixing, quality, sharding, substrings, warczip, wavelet
 from .common import WORD, keep, table
 
 #: SQL pieces that the twins share.  DuckDB's character class needs no escapes of its own.
@@ -57,6 +57,28 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+LINES_SQL = """
+WITH l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]')),
+d AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM l GROUP BY 1),
+c AS (SELECT line, n, first, m, (m - 1) // 2 AS h FROM (SELECT *, unnest([n, n + 1]) AS m FROM d WHERE n >= 20)),
+x AS (SELECT a.line AS u, b.line AS v, a.first AS fu, b.first AS fv FROM c a JOIN c b ON a.m = b.m AND a.line[1:a.h] = b.line[1:b.h] AND a.first < b.first
+      UNION SELECT a.line, b.line, a.first, b.first FROM c a JOIN c b ON a.m = b.m AND right(a.line, a.m - 1 - a.h) = right(b.line, b.m - 1 - b.h) AND a.first < b.first),
+g AS (SELECT DISTINCT v AS line FROM x WHERE levenshtein(u, v) <= 1),
+r AS (SELECT l.doc_id, l.pos FROM l JOIN d ON l.line = d.line LEFT JOIN g ON g.line = l.line WHERE g.line IS NOT NULL OR (l.doc_id, l.pos) > d.first),
+a AS (SELECT doc_id, count(*) AS c, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS p FROM r GROUP BY 1)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(a.c, 0)::BIGINT AS n_removed,
+       coalesce(a.p, '') AS removed_lines
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last FROM p),
@@ -92,6 +114,11 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op5_decontaminate")
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_shard")
 def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
