@@ -242,3 +242,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     found = wanted.select("text", "node", "k1", "k2").mapInArrow(run, "node long, items binary")
     return keep(found.groupBy("node").agg(F.first("items").alias("items")), "sets")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows with a null doc_id are behind all others, told apart by their texts.  Rows equal in doc_id and text are one document
+    and leave one row; rows that share a doc_id and differ in text are judged as parts of one document.
+    """
+    own = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+    rows = docs.select(F.struct("*").alias("_row"), own.alias("_id"), F.xxhash64("text").alias("_th"))
+    found = keep(near_duplicates(docs.select(own.alias("doc_id"), "text"), width, per_cent), "near-duplicates")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    left = rows.join(gone, "_id", "left_anti").dropDuplicates(["_id", "_th"])
+    return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
