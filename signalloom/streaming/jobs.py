@@ -1,40 +1,33 @@
 """Structured Streaming jobs.
 
-Each job takes a streaming DataFrame and writes immutable, batch-numbered versions of
-its outputs.  A batch that fails and runs again replaces only its own version, and
-reads nothing newer than itself, so the outputs do not depend on retries.
+Every job appends what arrives to a log, one version per micro-batch, and a batch that runs again replaces only its own
+version.  No row is dropped for being late: there are no watermarks on dates inside the items.  Results are recomputed from the
+log for the keys that a batch touches, so they do not depend on how the input was cut into batches or in which order it came;
+readers take the newest version of each key.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
-from ..functions.text import title_tokens, token_list, url_key
-from ..operators import dedup, extract, gates
-from ..operators.leaders import assign_leaders, match_leaders
+from ..functions.text import url_key
+from ..operators import dedup, extract, gates, intel
 from ..operators.state import cut
-from ..operators.twins import twin_step
-
-_DAY_US = 86_400_000_000
+from ..operators.twins import event_twins
 
 
-def _log(spark, root: str, before: int, schema: str) -> DataFrame:
-    """All versions of a log written by earlier batches."""
+def _log(spark, root: str, upto: int, schema) -> DataFrame:
+    """All versions of a log up to a batch, with their batch number."""
     try:
         log = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
     except Exception as e:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
-    return log.where(F.col("batch") < before)
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return log.where(F.col("batch") <= upto)
 
 
 def _write(df: DataFrame, root: str, batch: int) -> None:
@@ -46,36 +39,40 @@ def _start(df: DataFrame, each, checkpoint: str, once: bool) -> StreamingQuery:
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-# ---------------------------------------------------------------- ingest
-def stream_ingest(items: DataFrame, root: str, checkpoint: str, max_age_days: int = fv.MAX_ITEM_AGE_DAYS, once: bool = False) -> StreamingQuery:
-    """New items by url, for ever.
+def newest(spark, root: str, keys: list[str]) -> DataFrame:
+    """The newest version of each key of a log whose batches each hold whole keys."""
+    log = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+    last = log.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return log.join(last, [*keys, "batch"], "left_semi").drop("batch")
 
-    Dated items pass a watermarked de-duplication, which bounds the state and drops
-    late ones; undated items bypass it.  Uniqueness beyond the watermark is an anti
-    join against the log of stored keys.
-    """
-    keyed = items.withColumn("url_hash", url_key(F.col("url")))
-    dated = keyed.where("published_at IS NOT NULL").withWatermark("published_at", f"{max_age_days} days").dropDuplicatesWithinWatermark(["url_hash"])
-    # The side path carries no watermark of its own.
-    undated = keyed.where("published_at IS NULL").select(*[F.lit(None).cast("timestamp").alias(c) if c == "published_at" else F.col(c) for c in keyed.columns])
 
+# ---------------------------------------------------------------- ingest
+def stream_ingest(items: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Log the first row per url of each micro-batch (``ord``, url, title, published_at, structured)."""
     def each(batch: DataFrame, number: int) -> None:
-        stored = _log(batch.sparkSession, root, number, "url_hash string").select("url_hash")
-        fresh = batch.dropDuplicates(["url_hash"]).join(stored, "url_hash", "left_anti")
-        _write(fresh, root, number)
+        _write(dedup.url_dedup(batch, ["ord"]).drop("url_hash"), root, number)
+
+    return _start(items, each, checkpoint, once)
 
-    return _start(dated.unionByName(undated), each, checkpoint, once)
+
+def ingested(spark, root: str, as_of) -> DataFrame:
+    """Items by url with their status; age is judged against ``as_of``, never against other items."""
+    return dedup.ingest(spark.read.option("basePath", root).parquet(f"{root}/batch=*").drop("batch"), as_of)
 
 
 def stream_process(items: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Gate, extract and log mentions of each micro-batch; ``touched`` lists the names to rescore.
+    """Judge, gate and extract each micro-batch into logs: ``mentions``, ``intel``, ``voice`` and ``touched`` (names to rescore).
 
     Limit the batch at the source with ``maxFilesPerTrigger``.
     """
     def each(batch: DataFrame, number: int) -> None:
-        passed = gates.prefilter(batch).where("passed AND route = 'leads'")
-        leads = gates.min_confidence(extract.headline_leads(passed.select("item_id", "title", "summary")))
+        judged = intel.classify_intel(batch, keep_all=True).withColumn("intel_pass", F.col("verdict").isNotNull())
+        _write(gates.prefilter(judged).where("passed").drop("hits"), f"{root}/passed", number)
+        passed = batch.sparkSession.read.parquet(f"{root}/passed/batch={number}")
+        leads = gates.min_confidence(extract.headline_leads(passed.where("route = 'leads'").select("item_id", "title", "summary")))
         _write(leads, f"{root}/mentions", number)
+        _write(passed.where("route = 'intel'").select("item_id", "title", "verdict.*"), f"{root}/intel", number)
+        _write(passed.where("route = 'voice'").select("item_id", "title", "summary"), f"{root}/voice", number)
         done = batch.sparkSession.read.parquet(f"{root}/mentions/batch={number}")
         _write(done.select("name").distinct(), f"{root}/touched", number)
 
@@ -83,75 +80,60 @@ def stream_process(items: DataFrame, root: str, checkpoint: str, once: bool = Fa
 
 
 # ---------------------------------------------------------------- events
-def stream_events(signals: DataFrame, watermark: str = "45 days") -> DataFrame:
-    """Streaming twin detection: signal_id, stored_id, counted.
+def stream_events(signals: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Twin detection over a stream: logs ``signals`` and, for every (company, type) that a batch touches, its ``twins`` anew.
 
-    State per (company, type) is the memory of the last ten stored events.  It expires
-    30 days of event time after its last event, when nothing could match it any more;
-    directory entries keep theirs for the ten years they stay comparable.
+    An event that arrives late is folded in at its place in the order of signal_id.
     """
-    s = signals.withWatermark("occurred_at", watermark).select(
-        "signal_id", "company_id", "type", "url", "stage", "amount_usd_m", "occurred_at",
-        F.unix_micros("occurred_at").alias("occurred_us"), token_list(F.col("title")).alias("tokens"))
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory = json.loads(state.get[0]) if state.exists else {}
-        # A group's rows of one micro-batch; the source's file limit bounds them.
-        rows = pd.concat(list(batches)).sort_values("signal_id")
-        out = [twin_step(memory, r) for r in rows.drop(columns=["occurred_at"]).to_dict("records")]
-        state.update((json.dumps(memory),))
-        days = fv.TWIN_DIRECTORY_DAYS if key[1] == "directory" else fv.TWIN_DAYS
-        last = max([e["when"] for e in memory["stored"] if e["when"] is not None], default=0)
-        state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out)
-
-    return s.groupBy("company_id", "type").applyInPandasWithState(
-        fold, "signal_id long, stored_id long, counted boolean", "memory string", "append", GroupStateTimeout.EventTimeTimeout)
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        _write(batch.select("signal_id", "company_id", "type", "title", "url", "stage", "amount_usd_m", "occurred_us"), f"{root}/signals", number)
+        log = _log(spark, f"{root}/signals", number, batch.schema)
+        touched = log.where(F.col("batch") == number).select("company_id", "type").distinct()
+        rows = log.drop("batch").join(touched, ["company_id", "type"], "left_semi")
+        twins = event_twins(rows).join(rows.select("signal_id", "company_id", "type"), "signal_id")
+        _write(twins, f"{root}/twins", number)
+
+    return _start(signals, each, checkpoint, once)
 
 
 def stream_coverage(stories: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Story coverage over a stream: logs ``stories`` (kept) and ``told`` (ord -> leader).
+    """Story coverage over a stream: logs ``stories`` and, for every category that a batch touches, its ``coverage`` anew.
 
-    A micro-batch is first matched with the kept stories of the last week, then the rest
-    elects its own leaders.  No category is ever gathered in one place.
+    A url or title told before, in whatever category, is a repeat, so categories that lose a story to an earlier copy are touched too.
     ``stories``: story_id, category, topic, title, url, ts_us.
     """
-    payload = "ord struct<ts_us:bigint,story_id:bigint>, category string, topic string, ts_us bigint, tokens array<string>"
-
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = cut(batch.select(
-            F.struct("ts_us", "story_id").alias("ord"), "category", "topic", "ts_us", title_tokens(F.col("title")).alias("tokens")))
-        oldest = new.agg(F.min("ts_us")).first()[0]
-        kept = _log(spark, f"{root}/stories", number, payload).select("ord", "category", "topic", "ts_us", "tokens")
-        kept = kept.where(F.col("ts_us") > F.lit((oldest or 0) - fv.STORY_DAYS * _DAY_US))
-        both = new.unionByName(kept)
-        keys = cut(dedup.story_keys(both))
-        similar = dedup.same_story()
-        told = match_leaders(both, keys, kept.select("ord"), similar).join(new.select(F.col("ord").alias("later")), "later", "left_semi")
-        told = cut(told.groupBy("later").agg(F.min("first").alias("leader")))
-        rest = cut(new.join(told.select(F.col("later").alias("ord")), "ord", "left_anti"))
-        own = cut(assign_leaders(rest, keys.join(rest.select("ord"), "ord", "left_semi"), similar))
-        _write(rest.join(own.where("ord = leader").select("ord"), "ord", "left_semi"), f"{root}/stories", number)
-        _write(told.select(F.col("later").alias("ord"), "leader").unionByName(own), f"{root}/told", number)
+        rows = batch.select("story_id", "category", "topic", "title", "url", "ts_us")
+        _write(rows.withColumn("ord", F.struct("ts_us", "story_id")), f"{root}/stories", number)
+        log = _log(spark, f"{root}/stories", number, rows.schema)
+        new = log.where(F.col("batch") == number)
+        same = [log.join(new.select(c).distinct(), c, "left_semi").select("category") for c in ("url", "title")]
+        touched = cut(new.select("category").unionByName(same[0]).unionByName(same[1]).distinct())
+        told = dedup.first_told(log.drop("batch")).join(touched, "category", "left_semi")
+        found = dedup.story_coverage(told)
+        # A category whose stories all are repeats has a version too, without stories.
+        none = touched.join(found.select("category").distinct(), "category", "left_anti")
+        _write(found.select("category", "story_id", "coverage").unionByName(none, allowMissingColumns=True), f"{root}/coverage", number)
 
     return _start(stories, each, checkpoint, once)
 
 
 # ---------------------------------------------------------------- windows
-def tumbling_counts(events: DataFrame, ts: str, keys: list[str], watermark: str = "2 days", size: str = "1 day") -> DataFrame:
-    """Counts per window and key; a window is final once the watermark has passed it."""
-    w = events.withWatermark(ts, watermark)
-    return w.groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+def stream_counts(events: DataFrame, ts: str, keys: list[str], root: str, checkpoint: str, size: str = "1 day", slide: str | None = None, once: bool = False) -> StreamingQuery:
+    """Log each micro-batch's counts per window and key; sums of the log are complete at any time and take late rows."""
+    def each(batch: DataFrame, number: int) -> None:
+        w = F.window(ts, size, slide) if slide else F.window(ts, size)
+        _write(batch.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select("w.start", "w.end", *keys, "n"), root, number)
+
+    return _start(events, each, checkpoint, once)
 
 
-def sliding_report(events: DataFrame, ts: str, keys: list[str], size: str = "7 days", slide: str = "1 day", watermark: str = "2 days") -> DataFrame:
-    """Trailing counts, one row per slide."""
-    w = events.withWatermark(ts, watermark)
-    return w.groupBy(F.window(ts, size, slide), *keys).agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), *keys, "n")
+def window_counts(spark, root: str, keys: list[str]) -> DataFrame:
+    """Counts of all that has arrived: start, end, keys, n."""
+    log = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+    return log.groupBy("start", "end", *keys).agg(F.sum("n").alias("n"))
 
 
 def late_items(items: DataFrame, as_of, days: int = fv.MAX_ITEM_AGE_DAYS) -> tuple[DataFrame, DataFrame]:

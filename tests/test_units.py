@@ -130,20 +130,6 @@ def test_versions(spark, tmp_path):
     assert sinks.read_version(spark, root).count() == 5 and sinks.read_version(spark, root, 1).count() == 3
 
 
-def test_streamed_events_equal_the_batch(spark, tmp_path):
-    from signalloom.streaming.jobs import stream_events
-
-    df = spark.range(300).selectExpr(
-        "id AS signal_id", "id % 5 AS company_id", "CASE WHEN id % 2 = 0 THEN 'funding' ELSE 'launch' END AS type", "concat('u', id % 40) AS url",
-        "CASE WHEN id % 7 < 3 THEN 'Seed' END AS stage", "CASE WHEN id % 3 = 0 THEN cast(id as double) END AS amount_usd_m",
-        "timestamp_seconds(1700000000 + id * 40000) AS occurred_at", "concat('t', id % 6, ' t', id % 4, ' same words') AS title")
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = stream_events(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    rows = lambda d: {tuple(r) for r in d.select("signal_id", "stored_id", "counted").collect()}
-    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(twins.event_twins(df.withColumn("occurred_us", F.unix_micros("occurred_at"))))
-
-
 NATIVE = ["score_company", "prefilter", "people_mentions", "target_plan", "merge_company", "voice_report", "site_fingerprint", "lead_view", "fold_feedback"]
 
 
