@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.similarity import jaro_winkler
+from ..functions.similarity import _jaro_winkler, jaro_winkler
 from ..functions.text import norm_name
-from .leaders import elect_leaders
+from .graph import components
 from .state import cut
 
 
@@ -42,6 +43,8 @@ def name_keys(names: DataFrame, norm: str = "norm", score: float = fv.FUZZY_NAME
     rare letters first; two such names then share three characters within the first
     ``n - ceil(.7 n) + 3``.
     """
+    if score < fv.FUZZY_NAME_SCORE:
+        raise ValueError(f"the keys are proven for scores of {fv.FUZZY_NAME_SCORE} and more")
     order = "zqxjkvwybfpgmchdultnirsoae9876543210"
     chars = F.filter(F.split(F.col(norm), ""), lambda c: c != "")
     numbered = F.transform(
@@ -60,8 +63,8 @@ def name_keys(names: DataFrame, norm: str = "norm", score: float = fv.FUZZY_NAME
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, score: float = fv.FUZZY_NAME_SCORE, floor_transpositions: bool = False) -> DataFrame:
     """Distinct normalised names ``l`` and ``r`` with their similarity, at or above ``score``."""
-    a = name_keys(left.select("norm").distinct().where(F.length("norm") >= fv.FUZZY_NAME_MIN_LENGTH)).withColumnRenamed("norm", "l")
-    b = name_keys(right.select("norm").distinct()).withColumnRenamed("norm", "r")
+    a = name_keys(left.select("norm").distinct().where(F.length("norm") >= fv.FUZZY_NAME_MIN_LENGTH), score=score).withColumnRenamed("norm", "l")
+    b = name_keys(right.select("norm").distinct(), score=score).withColumnRenamed("norm", "r")
     ratio = F.least(F.length("l"), F.length("r")) / F.greatest(F.length("l"), F.length("r"))
     pairs = a.join(b, "key").where(ratio >= 0.7 - 1e-9).select("l", "r").distinct()
     scored = pairs.withColumn("score", jaro_winkler(F.col("l"), F.col("r"), floor_transpositions))
@@ -96,55 +99,56 @@ def match_tiers(mentions: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- whole resolution
-def _similar(a, b) -> Column:
-    same_domain = F.coalesce(a("domain") == b("domain"), F.lit(False))
-    same_name = a("norm") == b("norm")
-    close = (
-        (F.substring(a("norm"), 1, 2) == F.substring(b("norm"), 1, 2))
-        & (F.length(b("norm")) >= fv.FUZZY_NAME_MIN_LENGTH)
-        & (jaro_winkler(a("norm"), b("norm")) >= fv.FUZZY_NAME_SCORE)
-    )
-    return same_domain | same_name | close
+def _scan(groups: pd.DataFrame) -> pd.DataFrame:
+    """One pass over groups (ord, norm, domain) in order of arrival: domain, exact name, alias, fuzzy name, else a new company."""
+    companies: list[dict] = []
+    by_domain: dict[str, dict] = {}
+    by_norm: dict[str, dict] = {}
+    by_alias: dict[tuple[str, str], dict] = {}
+    out = []
+    for ord_, norm, domain in groups.sort_values("ord")[["ord", "norm", "domain"]].itertuples(index=False):
+        block = norm[:2]
+        c = by_domain.get(domain) if domain else None
+        c = c or by_norm.get(norm) or by_alias.get((block, norm))
+        if c is None and len(norm) >= fv.FUZZY_NAME_MIN_LENGTH:
+            near = [(_jaro_winkler(norm, x["norm"], False), x) for x in companies if x["norm"][:2] == block]
+            score, best = max(near, key=lambda v: (v[0], -v[1]["id"]), default=(0.0, None))
+            c = best if score >= fv.FUZZY_NAME_SCORE else None
+        if c is None:
+            c = {"id": int(ord_), "norm": norm, "domain": None}
+            companies.append(c)
+            by_norm[norm] = c
+        if domain and not c["domain"]:  # a company has one domain: the first it came with
+            c["domain"] = domain
+            by_domain.setdefault(domain, c)
+        if norm[:2] == c["norm"][:2]:  # aliases are looked for in the block of the company's own name
+            key = (block, norm)
+            if key not in by_alias or by_alias[key]["id"] > c["id"]:
+                by_alias[key] = c
+        out.append((norm, domain, c["id"]))
+    return pd.DataFrame(out, columns=["norm", "domain", "company_id"])
 
 
 def resolve_entities(mentions: DataFrame) -> DataFrame:
-    """``mention_id`` -> ``company_id`` (the first mention of the company).
+    """``mention_id`` -> ``company_id`` (the first mention of the company), for every mention with a name.
 
-    ``mentions``: mention_id (arrival order), name, domain.  Mentions collapse to
-    distinct (name key, domain); those elect leaders in arrival order; every group
-    then joins the company its tier priority picks.  A company also answers to
-    the domains and aliases its members brought in, applied once after the election.
+    ``mentions``: mention_id (arrival order), name, domain.  Mentions collapse to distinct (name key, domain), each resolved at its
+    first mention: to the company with its domain, or of its name, or with it as alias, or of the most similar name; else it is a
+    new company.  A company adopts the first domain that it comes with and no other.
+
+    Groups that share a name or a domain, or whose names are similar, are connected; nothing outside a connected set bears on it,
+    so each set of spellings is scanned in order on its own.  A company id always is the id of a company's first mention.
     """
-    m = mentions.select("mention_id", norm_name(F.col("name")).alias("norm"), "domain").where(F.col("norm") != "")
+    m = mentions.select("mention_id", norm_name(F.col("name")).alias("norm"), F.when(F.col("domain") != "", F.col("domain")).alias("domain")).where(F.col("norm") != "")
     groups = cut(m.groupBy("norm", "domain").agg(F.min("mention_id").alias("ord")))
-    equal = groups.select("ord", F.explode(F.array_compact(F.array(
-        F.concat(F.lit("n|"), "norm"), F.concat(F.lit("d|"), "domain")))).alias("key"))
-    fuzzy = name_keys(groups.select("ord", "norm")).select("ord", F.concat(F.lit("f|"), "key").alias("key"))
-    keys = cut(equal.union(fuzzy))
-    kept = cut(elect_leaders(groups, keys, _similar))
-
-    leader_side = groups.join(kept, "ord", "left_semi").select(
-        F.col("ord").alias("company_id"), F.col("norm").alias("c_norm"), F.col("domain").alias("c_domain"))
-    lk = keys.join(kept, "ord", "left_semi").select("key", F.col("ord").alias("company_id"))
-    pairs = keys.join(lk, "key").where(F.col("company_id") < F.col("ord")).select("ord", "company_id").distinct()
-    pairs = pairs.join(kept, "ord", "left_anti").join(groups, "ord").join(leader_side, "company_id")
-    pairs = pairs.withColumn("score", jaro_winkler(F.col("norm"), F.col("c_norm")))
-    tier = F.when(F.col("domain") == F.col("c_domain"), 0).when(F.col("norm") == F.col("c_norm"), 1).when(
-        (F.substring("norm", 1, 2) == F.substring("c_norm", 1, 2)) & (F.length("norm") >= fv.FUZZY_NAME_MIN_LENGTH)
-        & (F.col("score") >= fv.FUZZY_NAME_SCORE), 2)
-    best = pairs.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("ord").agg(
-        F.min_by("company_id", F.struct("tier", F.when(F.col("tier") == 2, -F.col("score")).otherwise(F.lit(0.0)), "company_id")).alias("company_id"))
-    placed = cut(kept.select("ord", F.col("ord").alias("company_id")).union(best.select("ord", "company_id")).join(groups, "ord"))
-
-    # What members brought in: a later leader with that domain or alias joins the earlier company.
-    brought_domain = placed.where("domain IS NOT NULL").groupBy("domain").agg(
-        F.min_by(F.struct("ord", "company_id"), "ord").alias("by"))
-    block = placed.where("ord = company_id").select("company_id", F.substring("norm", 1, 2).alias("block"))
-    brought_name = placed.join(block, "company_id").where(F.substring("norm", 1, 2) == F.col("block")).groupBy("norm").agg(
-        F.min_by(F.struct("ord", "company_id"), "ord").alias("by2"))
-    heads = placed.where("ord = company_id").join(brought_domain, "domain", "left").join(brought_name, "norm", "left")
-    earlier = lambda c: F.when(F.col(c)["ord"] < F.col("company_id"), F.col(c)["company_id"])
-    moved = heads.select("company_id", F.coalesce(earlier("by"), earlier("by2"), F.col("company_id")).alias("final"))
-    final = placed.join(moved, "company_id").select("norm", "domain", F.col("final").alias("company_id"))
+    names = cut(groups.groupBy("norm").agg(F.min("ord").alias("head")))
+    domains = groups.where("domain IS NOT NULL").groupBy("domain").agg(F.min("ord").alias("head"))
+    similar = fuzzy_pairs(names, names).where("l < r").select("l", "r")
+    head = lambda x: names.select(F.col("norm").alias(x), F.col("head").alias(f"h{x}"))
+    edges = groups.join(names, "norm").select(F.col("ord").alias("a"), F.col("head").alias("b"))
+    edges = edges.unionByName(groups.join(domains, "domain").select(F.col("ord").alias("a"), F.col("head").alias("b")))
+    edges = edges.unionByName(similar.join(head("l"), "l").join(head("r"), "r").select(F.col("hl").alias("a"), F.col("hr").alias("b")))
+    placed = groups.join(components(edges).withColumnRenamed("node", "ord"), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    found = placed.groupBy("root").applyInPandas(_scan, "norm string, domain string, company_id long")
     same_domain = F.col("m.domain").eqNullSafe(F.col("f.domain"))
-    return m.alias("m").join(final.alias("f"), (F.col("m.norm") == F.col("f.norm")) & same_domain).select("m.mention_id", "f.company_id")
+    return m.alias("m").join(found.alias("f"), (F.col("m.norm") == F.col("f.norm")) & same_domain).select("m.mention_id", "f.company_id")

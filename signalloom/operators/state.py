@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; fall back to a new one only where none is set."""
+    """Use the cluster's checkpoint folder.  A new one only in local mode, where all tasks see it."""
     if spark.sparkContext.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="signalloom-checkpoint-"))
 
 

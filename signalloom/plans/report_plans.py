@@ -337,8 +337,8 @@ def _(t):
 
 
 @query("voice_inbox", f"""
-WITH {SCORED_SQL}, n AS (SELECT * FROM scored WHERE status = 'new' ORDER BY published_us DESC, post_id LIMIT 300)
-SELECT post_id, band, row_number() OVER (ORDER BY CASE band WHEN 'high' THEN 0 WHEN 'research' THEN 1 ELSE 2 END, published_us DESC, post_id) AS position FROM n WHERE list_contains(ri, 'fees')
+WITH {SCORED_SQL}, n AS (SELECT * FROM scored WHERE status = 'new' AND list_contains(ri, 'fees') ORDER BY published_us DESC, post_id LIMIT 300)
+SELECT post_id, band, row_number() OVER (ORDER BY CASE band WHEN 'high' THEN 0 WHEN 'research' THEN 1 ELSE 2 END, published_us DESC, post_id) AS position FROM n
 """)
 def _(t):
     from pyspark.sql.window import Window

@@ -19,14 +19,14 @@ _MENTION = [
     ("mention_id", "(l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey"), ("name", _MENTION_NAME),
     ("domain", "CASE WHEN l_linenumber = 1 AND p_size > 25 THEN concat(replace(p_name, ' ', ''), '.example.com') WHEN l_linenumber = 6 THEN concat(replace(p_name, ' ', ''), '.example.com') END"),
 ]
-_MENTIONS_SQL = "mentions AS (SELECT min(mention_id) AS mention_id, name, domain FROM (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _MENTION) + " FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY name, domain)"
+_MENTIONS_SQL = "mentions AS (SELECT DISTINCT " + ", ".join(f"{e} AS {c}" for c, e in _MENTION) + " FROM lineitem JOIN part ON l_partkey = p_partkey)"
 # Known companies: the parts' names.
 _KNOWN_SQL = f"known AS (SELECT min(p_partkey) AS company_id, {norm_sql('p_name')} AS norm, min(replace(p_name, ' ', '')) || '.example.com' AS domain FROM part GROUP BY 2)"
 
 
 def mentions(t):
     m = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*[f"{e} AS {c}" for c, e in _MENTION])
-    return m.groupBy("name", "domain").agg(F.min("mention_id").alias("mention_id")).withColumn("norm", norm_name(F.col("name")))
+    return m.distinct().withColumn("norm", norm_name(F.col("name")))
 
 
 def known(t):

@@ -91,6 +91,43 @@ def test_resolution_follows_domains_and_names(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
 
 
+def _resolve(spark, rows):
+    m = spark.createDataFrame(rows, "mention_id long, name string, domain string").repartition(3)
+    return {r["mention_id"]: r["company_id"] for r in resolve.resolve_entities(m).collect()}
+
+
+def test_a_company_has_one_domain(spark):
+    rows = [(1, "Alphabeta", "a.com"), (2, "Alphabeta", "b.com"), (3, "Zedworks", "b.com"), (4, "Zedworks", "c.com"), (5, "Quorvex", "c.com")]
+    assert _resolve(spark, rows) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    rows = [(1, "Alphabeta", None), (2, "Alphabeta", "b.com"), (3, "Zedworks", "b.com"), (4, "Zedworks", None), (5, "Zedworks", None)]
+    assert _resolve(spark, rows) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def test_resolution_equals_one_scan_of_all(spark):
+    from pyspark.sql import functions as F
+
+    from signalloom.functions.text import norm_name
+
+    rnd = random.Random(3)
+    stems = ["alphabeta", "zedworks", "quorvexa", "redwidget", "bluegear", "alphabets", "redwidgets"]
+    rows = []
+    for i in range(1, 240):
+        s = rnd.choice(stems)
+        k = rnd.randrange(3, len(s))
+        s = rnd.choice([s, s, s[:k] + rnd.choice("qzx") + s[k:]])
+        rows.append((i, s, rnd.choice([None, None, None, f"{rnd.choice(stems)}.com", f"{rnd.choice('abc')}.com"])))
+    first = {}
+    names = {r["name"]: r["norm"] for r in spark.createDataFrame([(r[1],) for r in rows], "name string").select("name", norm_name(F.col("name")).alias("norm")).collect()}
+    for i, name, domain in rows:
+        first.setdefault((names[name], domain), i)
+    import pandas as pd
+
+    whole = resolve._scan(pd.DataFrame([(o, n, d) for (n, d), o in first.items()], columns=["ord", "norm", "domain"]))
+    want = {(n, d): c for n, d, c in whole.itertuples(index=False)}
+    assert _resolve(spark, rows) == {i: want[names[n], d] for i, n, d in rows}
+    assert all(c in first.values() for c in want.values())
+
+
 def test_chunked_event_fold_equals_one_chunk(spark):
     rnd = random.Random(9)
     rows = [(i, 1 if i % 3 else 2, rnd.choice(["funding", "launch"]), f"u{rnd.randrange(60)}", rnd.choice([None, "Seed", "Series A", "Series B"]),
