@@ -115,7 +115,7 @@ def _(t):
 
 
 def _headline_leads(t):
-    return extract.headline_leads(t.spread(t.headlines, "orders").select("item_id", "company_name", "title", "summary"))
+    return extract.headline_leads(t.headlines.select("item_id", "company_name", "title", "summary"))
 
 
 @query("headline_leads", r"""
@@ -174,14 +174,14 @@ def _bios(t):
 
 @query("people_mentions")
 def _(t):
-    return people.people_mentions(t.spread(_bios(t), "lineitem")).select("doc_id", "name", "role", "evidence", "position")
+    return people.people_mentions(_bios(t)).select("doc_id", "name", "role", "evidence", "position")
 
 
 @query("team_size_mentions", f"""
 SELECT item_id AS doc_id, CAST(n AS BIGINT) AS n FROM (SELECT item_id, CAST(regexp_extract(summary, 'team of (\\d+)', 1) AS INT) AS n FROM {{headlines}} WHERE summary LIKE '%A team of %') WHERE n BETWEEN 2 AND 200000
 """)
 def _(t):
-    d = t.spread(t.headlines, "orders").select(F.col("item_id").alias("doc_id"), F.regexp_replace("summary", "A team", "a team").alias("text"))
+    d = t.headlines.select(F.col("item_id").alias("doc_id"), F.regexp_replace("summary", "A team", "a team").alias("text"))
     return people.team_size_mentions(d).select("doc_id", F.col("n").cast("bigint").alias("n"))
 
 
@@ -291,7 +291,7 @@ SELECT page_id, array_to_string(list_filter([CASE WHEN {re_sql('html', fp.SITE_P
  CASE WHEN page_id % 2 = 0 THEN 'sales@shop.example.com;hello@shop.example.com' ELSE '' END AS inboxes, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/pricing' AS pricing_url FROM x
 """)
 def _(t):
-    f = sites.site_fingerprint(t.spread(t.sites, "pages"))
+    f = sites.site_fingerprint(t.sites)
     return f.select("page_id", F.array_join("providers", ";").alias("providers"), "platform", F.array_join("currencies", ";").alias("currencies"), "ships_abroad",
                     F.array_join("locales", ";").alias("locales"), "social.linkedin", F.array_join("inboxes", ";").alias("inboxes"), "pricing_url")
 
@@ -301,7 +301,7 @@ WITH x AS (SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)
 SELECT domain, CAST(count(*) AS BIGINT) AS pages, concat_ws(';', CASE WHEN bool_or({re_sql('html', fp.SITE_PROVIDERS['Razorpay'])}) THEN 'Razorpay' END, CASE WHEN bool_or({re_sql('html', fp.SITE_PROVIDERS['Stripe'])}) THEN 'Stripe' END) AS providers FROM x GROUP BY domain
 """)
 def _(t):
-    m = sites.merge_pricing_page(sites.site_fingerprint(t.spread(t.sites, "pages")))
+    m = sites.merge_pricing_page(sites.site_fingerprint(t.sites))
     return m.select("domain", "pages", F.array_join("providers", ";").alias("providers"))
 
 

@@ -26,7 +26,7 @@ _HITS = ", ".join(f"{re_sql(_TEXT, p)} AS h_{k}" for k, p in fp.GATE_RULES.items
 
 @query("rule_hits", "SELECT item_id, " + " || ".join(f"CASE WHEN h_{k} THEN '1' ELSE '0' END" for k in fp.GATE_RULES) + f" AS bits FROM (SELECT item_id, {_HITS} FROM {{headlines}})")
 def _(t):
-    h = t.spread(t.headlines, "orders").select("item_id", rule_hits(gates.item_text(F.col("title"), F.col("summary")), gates.GATE_PACK).alias("h"))
+    h = t.headlines.select("item_id", rule_hits(gates.item_text(F.col("title"), F.col("summary")), gates.GATE_PACK).alias("h"))
     bits = F.concat(*[F.when(F.col("h")[k], "1").otherwise("0") for k in fp.GATE_RULES])
     return h.select("item_id", bits.alias("bits"))
 
@@ -43,7 +43,7 @@ v AS (SELECT *, CASE
 
 @query("classify_intel", f"WITH {_INTEL_CTE} SELECT item_id, verdict FROM v WHERE verdict IS NOT NULL")
 def _(t):
-    v = intel.classify_intel(t.spread(t.headlines, "orders"))
+    v = intel.classify_intel(t.headlines)
     return v.select("item_id", F.concat_ws("/", "verdict.category", F.col("verdict.importance").cast("string"), "verdict.topic").alias("verdict"))
 
 
@@ -69,7 +69,7 @@ SELECT coalesce(CASE WHEN reason IS NULL THEN category END, 'dropped') AS route,
 
 @query("prefilter", _PREFILTER)
 def _(t):
-    v = intel.classify_intel(t.spread(t.headlines, "orders"), keep_all=True).withColumn("intel_pass", F.col("verdict").isNotNull())
+    v = intel.classify_intel(t.headlines, keep_all=True).withColumn("intel_pass", F.col("verdict").isNotNull())
     p = gates.prefilter(v)
     return p.groupBy(F.coalesce("route", F.lit("dropped")).alias("route"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -150,7 +150,7 @@ k AS (SELECT * FROM g WHERE NOT {re_sql('title', fp.POST_OFFTOPIC)} AND NOT {re_
 
 @query("voice_gate", f"WITH {_VOICE} SELECT post_id FROM k")
 def _(t):
-    return voice.voice_gate(t.spread(t.threads, "orders")).where("voice_pass").select("post_id")
+    return voice.voice_gate(t.threads).where("voice_pass").select("post_id")
 
 
 _INTENTS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {re_sql('focus', p)} THEN '{k}' END" for k, p in fp.POST_INTENTS.items()) + "], lambda x: x IS NOT NULL)"
@@ -169,7 +169,7 @@ t3 AS (SELECT *, coalesce(ri[1], 'discussion') AS intent,
 
 @query("voice_tags", f"WITH {_TAGS} SELECT post_id, array_to_string(ri, ';') || CASE WHEN unhappy THEN ';provider-complaint' ELSE '' END AS intents, intent, segment, fit, array_to_string(providers, ';') AS providers, restricted FROM t3")
 def _(t):
-    d = voice.voice_tags(voice.voice_gate(t.spread(t.threads, "orders")).where("voice_pass"))
+    d = voice.voice_tags(voice.voice_gate(t.threads).where("voice_pass"))
     suffix = F.when(F.col("unhappy"), ";provider-complaint").otherwise("")
     return d.select(
         "post_id", F.concat(F.array_join("rule_intents", ";"), suffix).alias("intents"), "intent", "segment", "fit",
@@ -190,5 +190,5 @@ scored AS (SELECT *, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 're
 
 @query("score_voice", f"WITH {SCORED_SQL} SELECT post_id, CAST(score AS BIGINT) AS score, band FROM scored")
 def _(t):
-    d = voice.classify_voice(t.spread(t.threads, "orders"), as_of_signals())
+    d = voice.classify_voice(t.threads, as_of_signals())
     return d.select("post_id", F.col("score").cast("bigint").alias("score"), "band")

@@ -21,14 +21,6 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, df: DataFrame, base: str) -> DataFrame:
-        """Use all cores for per-row work when ``base`` is read as fewer splits than cores.
-
-        A large table has more splits than cores and is left as it is.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if self.raw(base).rdd.getNumPartitions() < cores else df
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -298,7 +298,7 @@ def _(t):
 
 
 def _posts(t):
-    return voice.classify_voice(t.spread(t.threads, "orders"), as_of_signals()).withColumn("created_at", F.col("published_at"))
+    return voice.classify_voice(t.threads, as_of_signals()).withColumn("created_at", F.col("published_at"))
 
 
 @query("voice_report", f"""

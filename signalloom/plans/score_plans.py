@@ -61,7 +61,7 @@ SCORED = scored_cte()
 
 
 def scored_companies(t):
-    return score.score_company(t.companies, t.spread(t.signals, "orders"), as_of_signals())
+    return score.score_company(t.companies, t.signals, as_of_signals())
 
 
 @query("score_company", f"WITH {SCORED} SELECT company_id, score, concat_ws(',', p1, p2, p3, p4, p5, p6, p7, p8) AS parts, CAST(q1 + q2 + q3 + q4 AS BIGINT) AS penalty FROM scored")
@@ -83,7 +83,7 @@ _DRAFT = {**fv.WEIGHTS, "funding": 10, "pain": 30}
 @query("rescore_all", f"WITH {scored_cte('scored', 90.0, _DRAFT)} SELECT company_id, score FROM scored")
 def _(t):
     cfg = score.ScoreConfig(weights=_DRAFT, half_life_days=90.0)
-    return score.rescore_all(t.companies, t.spread(t.signals, "orders"), as_of_signals(), cfg).select("company_id", F.col("score").cast("bigint").alias("score"))
+    return score.rescore_all(t.companies, t.signals, as_of_signals(), cfg).select("company_id", F.col("score").cast("bigint").alias("score"))
 
 
 _PREVIEW = f"""{SCORED}, {scored_cte('redo', 90.0, _DRAFT)},
@@ -93,11 +93,11 @@ pv AS (SELECT top.*, redo.score AS after FROM top JOIN redo USING (company_id))"
 
 @query("config_preview", f"WITH {_PREVIEW} SELECT company_id, name, sector, before, after FROM pv ORDER BY after DESC, before DESC, company_id LIMIT 15")
 def _(t):
-    rows, _ = score.config_preview(t.companies, t.spread(t.signals, "orders"), as_of_signals(), score.ScoreConfig(), score.ScoreConfig(weights=_DRAFT, half_life_days=90.0))
+    rows, _ = score.config_preview(t.companies, t.signals, as_of_signals(), score.ScoreConfig(), score.ScoreConfig(weights=_DRAFT, half_life_days=90.0))
     return rows.withColumn("before", F.col("before").cast("bigint")).withColumn("after", F.col("after").cast("bigint"))
 
 
 @query("config_preview_moved", f"WITH {_PREVIEW} SELECT CAST(count(*) FILTER (WHERE after >= 55 AND before < 55) AS BIGINT) AS into_high, CAST(count(*) FILTER (WHERE after < 55 AND before >= 55) AS BIGINT) AS out_of_high FROM pv")
 def _(t):
-    _, moved = score.config_preview(t.companies, t.spread(t.signals, "orders"), as_of_signals(), score.ScoreConfig(), score.ScoreConfig(weights=_DRAFT, half_life_days=90.0))
+    _, moved = score.config_preview(t.companies, t.signals, as_of_signals(), score.ScoreConfig(), score.ScoreConfig(weights=_DRAFT, half_life_days=90.0))
     return moved
