@@ -228,7 +228,7 @@ def rotate_queries(grid: DataFrame, used: DataFrame, n: int, seed: int = 0) -> D
     """``n`` unused queries in a seeded order; used ones come back once fewer than ``n`` are left."""
     marked = grid.join(used.select("query", F.lit(1).alias("was_used")).distinct(), "query", "left")
     fresh = F.col("was_used").isNull()
-    return marked.orderBy(F.when(fresh, 0).otherwise(1), F.xxhash64(F.lit(seed), "query"), "query").limit(n).select("query", "segment", "intent")
+    return marked.orderBy(F.when(fresh, 0).otherwise(1), F.md5(F.concat(F.lit(f"{seed}|"), "query")), "query").limit(n).select("query", "segment", "intent")
 
 
 def coverage_gap(companies: DataFrame) -> DataFrame:

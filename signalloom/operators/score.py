@@ -169,8 +169,9 @@ def score_company(companies: DataFrame, signals: DataFrame, as_of: Column, cfg:
     return c.select(*companies.columns, score.alias("score"), breakdown.alias("breakdown"))
 
 
-def explain_score(scored: DataFrame, signals: DataFrame, as_of: Column) -> DataFrame:
-    """``why``: one sentence from trigger events, fit and stack."""
+def explain_score(scored: DataFrame, signals: DataFrame, as_of: Column, cfg: ScoreConfig | None = None) -> DataFrame:
+    """``why``: one sentence from trigger events, fit and stack; prices in the home currency say nothing."""
+    home = (cfg or ScoreConfig()).home_currency
     newest = lambda types, *cols: F.max_by(F.struct(*cols), F.when(F.col("type").isin(*types), F.struct("occurred_at", -F.col("signal_id"))))
     facts = signals.groupBy("company_id").agg(
         newest(["funding"], "stage", "amount_usd_m", "occurred_at").alias("f"),
@@ -193,7 +194,7 @@ def explain_score(scored: DataFrame, signals: DataFrame, as_of: Column) -> DataF
         F.when(F.col("f").isNotNull(), raised).when(F.col("listed"), "is listed in a start-up directory"),
         F.when(F.col("x").isNotNull(), expands),
         F.when(F.col("pained"), "has publicly described payment friction")))
-    fx = F.filter("currencies", lambda v: v != "INR")
+    fx = F.filter("currencies", lambda v: v != home)
     pay = F.get(F.filter("breakdown", lambda p: p["key"] == "paymentStack"), 0)["points"]
     abroad = F.when(F.size(concrete) > 0, F.concat(F.lit(" ("), three, F.lit(")"))).otherwise("")
     fit = F.array_compact(F.array(

@@ -395,7 +395,7 @@ def _(t):
     return traction.traction_keywords(k).select("company_id", "keyword", "etv")
 
 
-@query("traction_tech")
+@query("traction_tech", "SELECT p_partkey AS company_id, p_brand || ';Stripe' AS payments, 'Shopify' AS commerce, p_brand || ';' || p_name AS other FROM part")
 def _(t):
     m = t.part.select(F.col("p_partkey").alias("company_id"), F.create_map(F.col("p_type"), F.create_map(F.lit("payment gateways"), F.array(F.col("p_brand"), F.lit("Stripe")), F.lit("shops"), F.array(F.lit("Shopify"), F.col("p_name")))).alias("technologies"))
     return traction.traction_tech(m).select("company_id", F.array_join("payments", ";").alias("payments"), F.array_join("commerce", ";").alias("commerce"), F.array_join("other", ";").alias("other"))

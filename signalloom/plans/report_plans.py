@@ -199,7 +199,11 @@ def _(t):
     return ranking.grid_of(seg, _INTENTS).select("query")
 
 
-@query("rotate_queries")
+@query("rotate_queries", """
+WITH g AS (SELECT DISTINCT 'India ' || p_type || ' ' || p_name || ' ' || i AS query FROM part, (SELECT unnest(['raises Series A', 'expands to US', 'enters Europe']) AS i)),
+u AS (SELECT DISTINCT 'India ' || p_type || ' ' || p_name || ' ' || i AS query FROM part, (SELECT unnest(['raises Series A', 'expands to US']) AS i) WHERE p_size > 25)
+SELECT g.query FROM g LEFT JOIN u ON u.query = g.query ORDER BY u.query IS NOT NULL, md5('0|' || g.query), g.query LIMIT 5
+""")
 def _(t):
     seg = t.part.select(F.concat_ws(" ", "p_type", "p_name").alias("segment")).distinct()
     grid = ranking.grid_of(seg, _INTENTS)
