@@ -315,8 +315,8 @@ def test_encoder_equals_tokenizer():
     e = wavelet.Encoder(queries.default_tokenizer(), limit=50)
     r = random.Random(4)
     texts = ["", " ", "a  b", "x \n\n y\n", "it's  we'll", "<|endoftext|> end", "é ü  x", LONG[:5000], "1234 5.6", "\t\ttab", "emoji 😀😀 ok"]
-    texts += ["".join(r.choice("ab 'é1\n.  \t😀\u0085s") for _ in range(40)) for _ in range(200)]
-    for t, ids in zip(texts, e.batch(texts)):
+    texts += ["".join(r.choice("abZ '’é×÷ßжд字界1\n.,!  \t😀\u0085\u00a0\u2003\u3000\u0301s") for _ in range(40)) for _ in range(3000)]
+    for t, ids in [*zip(texts, e.batch([t.encode() for t in texts])), *((t, e.batch([t.encode()])[0]) for t in texts)]:
         assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
     assert e.batch([]) == []
 
