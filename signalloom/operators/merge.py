@@ -129,3 +129,8 @@ def latest_wins(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Upsert: the last log row per key."""
     rest = [c for c in log.columns if c not in keys]
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
+
+
+def cascade_delete(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children of the parents that are left; those of deleted parents, and those without one, go."""
+    return children.join(parents.select(key), key, "left_semi")

@@ -163,16 +163,21 @@ def extraction_mix(items: DataFrame) -> DataFrame:
 
 
 def usage_ledger(calls: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """Calls and cost per kind, day and month-to-day flag over the cap."""
-    daily = calls.groupBy(F.to_date("at").alias("day"), "kind").agg(F.count("*").alias("calls"), F.sum("cost").alias("cost"))
-    cap = None
-    for k, v in caps.items():
-        cap = F.when(F.col("kind") == k, v) if cap is None else cap.when(F.col("kind") == k, v)
-    return daily.withColumn("over_cap", F.coalesce(F.col("calls") >= cap, F.lit(False)))
+    """Calls and cost per day and kind, with a flag where the day's cap is reached."""
+    return _capped(calls, F.to_date("at").alias("day"), caps)
+
 
+def usage_by_month(calls: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """Calls and cost per month and kind, with a flag where the month's cap is reached."""
+    return _capped(calls, F.date_format("at", "yyyy-MM").alias("month"), caps)
 
-def usage_by_month(calls: DataFrame) -> DataFrame:
-    return calls.groupBy(F.date_format("at", "yyyy-MM").alias("month"), "kind").agg(F.count("*").alias("calls"), F.sum("cost").alias("cost"))
+
+def _capped(calls: DataFrame, period: Column, caps: dict[str, int]) -> DataFrame:
+    used = calls.groupBy(period, "kind").agg(F.count("*").alias("calls"), F.sum("cost").alias("cost"))
+    cap = F.lit(None).cast("int")
+    for k, v in caps.items():
+        cap = F.when(F.col("kind") == k, v).otherwise(cap)
+    return used.withColumn("over_cap", F.coalesce(F.col("calls") >= cap, F.lit(False)))
 
 
 def legacy_score(leads: DataFrame, weights: dict[str, int], sectors: list[str], stack_words: str = "payment|multi-currency|checkout") -> DataFrame:

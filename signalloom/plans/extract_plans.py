@@ -71,6 +71,15 @@ def _(t):
         "url", "title", "comment", F.unix_seconds("published_at").alias("published"))
 
 
+@query("forum_feed_titles", "SELECT post_id, 'hello ' || CAST(post_id AS VARCHAR) AS title, CASE WHEN comment THEN 'text' ELSE 'body' END AS summary FROM {posts} WHERE comment OR channel <> 'meta'")
+def _(t):
+    hello = F.concat(F.lit("hello "), F.col("post_id").cast("string"))
+    items = t.posts.select(
+        "post_id", "comment", F.when(F.col("comment"), F.concat(F.lit("/u/someone on "), hello)).when(F.col("channel") == "meta", "r/meta").otherwise(hello).alias("title"),
+        F.when(F.col("comment"), "text").otherwise("body submitted by /u/someone [link]").alias("summary"))
+    return feeds.forum_feed_titles(items).select("post_id", "title", "summary")
+
+
 @query("land_hits_json", f"""
 SELECT 'h' || CAST(event_id AS VARCHAR) AS title, CASE WHEN value > 5 THEN 'https://h.example.com/' || CAST(event_id AS VARCHAR) ELSE 'https://news.ycombinator.com/item?id=' || CAST(event_id AS VARCHAR) END AS url
 FROM events WHERE event_type <> 'error' AND epoch_us(date_trunc('second', ts)) > {AS_OF_US} - 10 * {DAY_US}

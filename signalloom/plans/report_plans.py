@@ -379,10 +379,10 @@ def _(t):
     return u.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "kind", "calls", F.round("cost", 2).alias("cost"), "over_cap")
 
 
-@query("usage_by_month", "SELECT strftime(ts, '%Y-%m') AS month, event_type AS kind, CAST(count(*) AS BIGINT) AS calls, round(sum(value), 1) AS cost FROM events GROUP BY ALL")
+@query("usage_by_month", "SELECT strftime(ts, '%Y-%m') AS month, event_type AS kind, CAST(count(*) AS BIGINT) AS calls, round(sum(value), 1) AS cost, count(*) >= CASE event_type WHEN 'click' THEN 400 ELSE 1000000 END AS over_cap FROM events GROUP BY 1, 2")
 def _(t):
     calls = t.events.select(F.col("ts").alias("at"), F.col("event_type").alias("kind"), F.col("value").alias("cost"))
-    return reports.usage_by_month(calls).withColumn("cost", F.round("cost", 1))
+    return reports.usage_by_month(calls, {"click": 400}).withColumn("cost", F.round("cost", 1))
 
 
 _LEGACY_W = {"funding": 40, "international": 30, "sector": 15, "paymentPage": 10, "competitor": -15}
