@@ -134,12 +134,24 @@ def _(t):
     return _headline_leads(t).select("item_id", F.regexp_replace("name", "^x$", "x").alias("name"), F.when(F.col("type") == "launch", "expansion").otherwise(F.col("type")).alias("type"))
 
 
-@query("headline_lead_facts")
+@query("headline_lead_facts", r"""
+WITH h AS (SELECT *, CAST(regexp_extract(title, ' raises \$(\d+) Mn', 1) AS VARCHAR) AS mn, regexp_extract(title, ' in Series ([A-Z]) round', 1) AS st, regexp_extract(summary, ' was led by (.+ Partners)\.', 1) AS inv FROM {headlines}
+ WHERE title LIKE '% raises %' OR title LIKE '% expands to %' OR title LIKE '% launches export desk in Dubai')
+SELECT item_id, CASE WHEN st <> '' THEN 'Series ' || st END AS stage, CASE WHEN mn NOT IN ('', '0') THEN CAST(mn AS DOUBLE) END AS amount_usd_m,
+ CASE WHEN title LIKE '% and Europe' THEN 'Europe' WHEN title LIKE '% in Dubai' THEN 'UAE' ELSE '' END AS markets, inv AS investors,
+ CASE WHEN title LIKE 'furniture startup %' THEN 'D2C' ELSE 'Other' END AS sector, 'startup' AS size, CAST(regexp_extract(summary, 'A team of (\d+) people', 1) AS INT) AS team_n FROM h
+""")
 def _(t):
     return _headline_leads(t).select("item_id", "stage", "amount_usd_m", F.array_join("markets", ";").alias("markets"), F.array_join("investors", ";").alias("investors"), "sector", "size", F.col("team.n").alias("team_n"))
 
 
-@query("structured_leads")
+@query("structured_leads", """
+SELECT 'https://d.example.com/' || CAST(c_custkey AS VARCHAR) AS item_id, c_name AS name, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'D2C' ELSE 'Other' END AS sector, '' AS markets,
+ CASE WHEN CAST(floor(c_acctbal) AS INT) % 300 > 0 THEN CAST(floor(c_acctbal) AS INT) % 300 END AS team_n,
+ 'Backed by Directory (W' || CAST(2018 + c_nationkey % 8 AS VARCHAR) || ')' || CASE WHEN c_acctbal > 5000 THEN ', currently hiring' ELSE '' END AS title,
+ 'directory-backed' || CASE WHEN c_acctbal > 5000 THEN ';hiring' ELSE '' END AS signals
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 AND c_acctbal > 0 AND 2018 + c_nationkey % 8 >= 2022
+""")
 def _(t):
     d = feeds.land_directory(_directory(t), "ASIA").withColumn("item_id", F.col("url"))
     s = extract.structured_leads(d)

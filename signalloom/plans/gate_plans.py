@@ -55,14 +55,16 @@ def _(t):
     return h.select("item_id", intel.competitor_action(F.col("title")).alias("action"))
 
 
-_PREFILTER = f"""
+JUDGED = f"""
 WITH {_INTEL_CTE},
 h AS (SELECT *, {_HITS} FROM v),
-r AS (SELECT item_id, category, CASE
+r AS (SELECT item_id, category, title, company_name, verdict, CASE
   WHEN category = 'intel' THEN CASE WHEN verdict IS NULL THEN 'no relevant topic' END
   WHEN h_noise AND NOT h_funding THEN 'market noise'
   WHEN NOT (h_funding OR h_expansion OR h_launch OR h_pain) THEN 'no funding, expansion or launch signal'
   WHEN NOT (h_region OR (kind <> 'hn' AND assume_region)) THEN 'no region signal' END AS reason FROM h)
+"""
+_PREFILTER = JUDGED + """
 SELECT coalesce(CASE WHEN reason IS NULL THEN category END, 'dropped') AS route, coalesce(reason, '') AS reason, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY ALL
 """
 
