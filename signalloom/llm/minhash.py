@@ -6,19 +6,18 @@ from collections.abc import Iterator
 from math import lgamma, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, keep, mix, pieces, randoms
+from .common import Words, keep, mix, n_tasks, pieces, randoms
 from .graph import components
 
 HASHES, BATCH = 128, 16
 #: Chance to miss a pair at the threshold: in no band, and by pruning in any one comparison.
 BAND_MISS, PRUNE_MISS = 1e-6, 1e-8
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a bucket, and shingles of theirs, that one task compares with as many others.
+BLOCK, BLOCK_ITEMS = 1024, 1 << 20
 _ODD = randoms(HASHES, 11) | np.uint64(1)
 
 
@@ -78,14 +77,15 @@ def least_matches(threshold: float) -> np.ndarray:
     return np.array(out)
 
 
-def promising(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, per_cent: int, least: np.ndarray) -> np.ndarray:
-    """Rows of pairs (signatures a, b) that may be similar: sizes first, then batch after batch of hashes."""
-    left = np.flatnonzero(100 * np.minimum(size_a, size_b) >= per_cent * np.maximum(size_a, size_b))
-    seen = np.zeros(len(a), np.int64)
-    for i, m in enumerate(least):
-        part = slice(i * BATCH, (i + 1) * BATCH)
-        seen[left] += (a[left, part] == b[left, part]).sum(1)
-        left = left[seen[left] >= m]
+def promising(sig: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, per_cent: int, least: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of rows of ``sig`` may be similar: sizes first, then batch after batch of hashes."""
+    left = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= per_cent * np.maximum(n[i], n[j]))
+    seen = np.zeros(len(left), np.int64)
+    for k, m in enumerate(least):
+        part = sig[:, k * BATCH:(k + 1) * BATCH]
+        seen += (part[i[left]] == part[j[left]]).sum(1)
+        ok = np.flatnonzero(seen >= m)
+        left, seen = left[ok], seen[ok]
     return left
 
 
@@ -121,9 +121,10 @@ def _pruned(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            sig = [np.frombuffer(b"".join(col[f"sig_{x}"].to_pylist()), np.uint32).reshape(-1, HASHES) for x in "ab"]
-            n = [col[f"n_{x}"].to_numpy(zero_copy_only=False) for x in "ab"]
-            left = pa.array(promising(*sig, *n, per_cent, least))
+            sig = np.concatenate([_signatures(col[f"sig_{x}"]) for x in "ab"])
+            n = np.concatenate([col[f"n_{x}"].to_numpy(zero_copy_only=False) for x in "ab"])
+            i = np.arange(len(batch))
+            left = pa.array(promising(sig, i, i + len(batch), n, per_cent, least))
             yield pa.RecordBatch.from_arrays([col["a"].take(left), col["b"].take(left)], names=["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -136,48 +137,121 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(i) for i in range(4))
-            left = []
-            for i in range(len(batch)):
-                s, t = (np.frombuffer(c[i].as_py(), np.uint64) for c in (x, y))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= per_cent * (len(s) + len(t) - common):
-                    left.append(i)
-            left = pa.array(left, pa.int64())
+            left = pa.array([i for i in range(len(batch)) if similar(x[i].as_py(), y[i].as_py(), per_cent)], pa.int64())
             yield pa.RecordBatch.from_arrays([a.take(left), b.take(left)], names=["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, per_cent: int) -> DataFrame:
-    """Promising pairs between different groups (``root``) of one bucket, compared in blocks.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows of (key, _x, _y): every two blocks of a bucket meet once, and so does each block with itself.
 
-    A bucket of more than BLOCK members is dealt into blocks, and every two blocks meet in a task of their own: nothing is
-    capped, and no task has more than two blocks.  Only promising pairs leave a task.
+    A bucket is one block unless it has more than BLOCK members or BLOCK_ITEMS shingles; nothing is capped.
     """
-    least = least_matches(per_cent / 100)
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("weight") / BLOCK_ITEMS)).cast("int")
     m = members.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    m = m.withColumn("_x", F.least("_block", "_other")).withColumn("_y", F.greatest("_block", "_other"))
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        root = g["root"].to_numpy()
-        node, n, block = (g[c].to_numpy() for c in ("node", "n", "_block"))
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, HASHES)
-        out = []
-        for i in range(len(g)):
-            j = np.arange(i + 1, len(g))
-            j = j[root[j] != root[i]]
-            if key[1] != key[2]:  # pairs within a block are another task's
-                j = j[block[j] != block[i]]
-            if len(j):
-                ok = j[promising(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], np.full(len(j), n[i]), n[j], per_cent, least)]
-                out.append(np.stack([np.full(len(ok), node[i]), node[ok]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
-
-    found = m.select("key", "_x", "_y", "node", "root", "n", "sig", "_block").groupBy("key", "_x", "_y").applyInPandas(run, "a long, b long")
-    return found.distinct()
+    return m.withColumn("_x", F.least("_block", "_other")).withColumn("_y", F.greatest("_block", "_other")).drop("_blocks", "_other")
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (key, _x, _y) out of batches that are sorted by group."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        key, x, y = (t.column(c).to_numpy() for c in ("key", "_x", "_y"))
+        last = len(t) - int(np.argmin(((key == key[-1]) & (x == x[-1]) & (y == y[-1]))[::-1])) if len(t) else 0
+        if len(t) and (key[0], x[0], y[0]) == (key[-1], x[-1], y[-1]):
+            last = 0
+        if last:
+            yield t.slice(0, last)
+        held = t.slice(last)
+    if held is not None and len(held):
+        yield held
+
+
+def _block_pairs(t: pa.Table, least: np.ndarray, per_cent: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of promising pairs of rows in one group with different roots; a pair belongs to the first band that it shares.
+
+    All rows are compared with the next row of their group, then with the one after it, and so on."""
+    key, x, y, block, band, root, n = (t.column(c).to_numpy() for c in ("key", "_x", "_y", "_block", "band", "root", "n"))
+    sig = _signatures(t.column("sig").combine_chunks())
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(t))[np.cumsum(new) - 1]
+    i, d = np.arange(len(t)), 0
+    while len(i):
+        d += 1
+        i = i[end[i] > i + d]
+        a = i[(root[i] != root[i + d]) & ((x[i] == y[i]) | (block[i] != block[i + d]))]  # pairs within a block are another task's
+        for at in range(0, len(a), 1 << 15):
+            p = a[at:at + (1 << 15)]
+            p = p[promising(sig, p, p + d, n, per_cent, least)]
+            if len(p):
+                same = (sig[p] == sig[p + d])[:, :HASHES // width * width].reshape(len(p), -1, width).all(2)
+                p = p[same.argmax(1) == band[p]]
+                yield p, p + d
+
+
+def _rest(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Confirmed links between different groups (``root``) that share a bucket.
+
+    First the members that have a promising partner at all are found from signatures; their full sets are then sent to the
+    same tasks, which verify the pairs and give at most one link for each two groups that they bring together.  So rows stay as many as
+    members, however many pairs a task has to look at.
+    """
+    least, width = least_matches(per_cent / 100), bands(per_cent / 100)[1]
+    blocked = _blocks(members)
+
+    names = "key long, _x int, _y int, _block int, band int, node long, root long, n long"
+    columns = [c.split(" ")[0] for c in names.split(", ")]
+    tasks = n_tasks(members.sparkSession)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, "key", "_x", "_y").sortWithinPartitions("key", "_x", "_y", "node")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches):
+            hit = np.zeros(len(t), bool)
+            for i, j in _block_pairs(t, least, per_cent, width):
+                hit[i], hit[j] = True, True
+            yield from t.select(columns).take(np.flatnonzero(hit)).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches):
+            node, root, items = t.column("node").to_numpy(), t.column("root").to_pylist(), t.column("items").combine_chunks()
+            group: dict[int, int] = {}
+
+            def top(r: int) -> int:
+                while group.get(r, r) != r:  # noqa: B023
+                    r = group[r]  # noqa: B023
+                return r
+
+            a, b = [], []
+            for i, j in ((i, j) for p, q in _block_pairs(t, least, per_cent, width) for i, j in zip(p.tolist(), q.tolist())):
+                u, v = top(root[i]), top(root[j])
+                if u != v and similar(items[i].as_py(), items[j].as_py(), per_cent):
+                    group[max(u, v)] = min(u, v)
+                    a.append(node[i])
+                    b.append(node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    found = dealt(blocked.select(*columns, "sig")).mapInArrow(find, names)
+    return dealt(found.join(sets, "node").select(*columns, "sig", "items")).mapInArrow(verify, "a long, b long")
+
+
+def similar(a: bytes, b: bytes, per_cent: int) -> bool:
+    """Whether two full sets (sorted hashes) are similar enough."""
+    s, t = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.concatenate((s, t))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= per_cent * (len(s) + len(t) - common)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
@@ -190,8 +264,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> Data
     2. In every bucket each class meets the bucket's most central one (most bucket mates over all bands): as many pairs as rows,
        however large the bucket.  Signatures are compared in batches of 16 hashes and a pair is given up as soon as the posterior of
        its similarity allows; survivors are verified on the full sets, and the links give groups.
-    3. Where a bucket still has several groups, classes of different groups are compared with each other, in blocks, and verified.
-       Links within a group are not looked for: they change no component.
+    3. Where a bucket still has several groups, classes of different groups are compared and verified with each other inside tasks of
+       two blocks each.  Links within a group are not looked for: they change no component.
 
     A text without words, or null, has the empty set and is linked with nothing; its component is its doc_id.  Null doc_ids never
     are the smallest unless all are null.  Equal rows are in one component (and kept alike).  An empty table gives an empty result;
@@ -202,23 +276,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> Data
     classes = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     count, rows = bands(per_cent / 100)
-    key = [F.xxhash64(F.lit(b), F.substring("sig", 4 * rows * b + 1, 4 * rows)) for b in range(count)]
-    members = classes.select("node", F.explode(F.array(*key)).alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
+    key = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", 4 * rows * b + 1, 4 * rows)).alias("key")) for b in range(count)]
+    members = classes.select("node", "n", F.explode(F.array(*key)).alias("x")).select("node", "n", "x.*")
+    buckets = members.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).filter("count > 1")
     members = keep(members.join(buckets, "key"), "members")
     central = members.groupBy("node").agg(F.sum("count").alias("mates"))
     leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("x"))).alias("best")).select("key", (-F.col("best.x")).alias("lead"))
     stars = members.join(leaders, "key").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     stars = keep(_pruned(stars, classes, per_cent), "stars")
-    sets = _sets(docs, members.select("node").distinct().join(classes, "node").select("node", "first_doc", "k1", "k2"), width)
+    sets = _sets(docs, members.select("node").distinct().join(classes, "node").select("node", "first_doc", "k1", "k2", "sig"), width)
     links = keep(_confirmed(stars, sets, per_cent), "links")
     groups = keep(components(links), "groups")
     # Second look: buckets with more than one group.
     rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    left = rooted.join(open_keys, "key").join(classes.select("node", "n", "sig"), "node")
-    tested = keep(_rest(left, per_cent).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _confirmed(tested, sets, per_cent)
+    left = rooted.join(open_keys, "key").join(classes.select("node", "sig"), "node")
+    more = _rest(left, sets, per_cent)
     all_links = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(more)
     final = components(all_links)
     placed = classes.select("node", "k1", "k2", "first_doc").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -230,18 +303,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> Data
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, items): the full sets of classes, from a document of each."""
+    """(node, sig, items): signatures and full sets of classes, the latter from a document of each."""
     wanted = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(nodes.withColumnRenamed("first_doc", "_doc"), F.col("first_doc").eqNullSafe(F.col("_doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
-            node, k1, k2 = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            node, k1, k2, sig = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
             sets = shingle_sets(texts, width)
             own = [i for i, s in enumerate(sets) if set_name(s) == (k1[i], k2[i])]  # rows may share a doc_id
-            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in own], pa.int64()), pa.array([sig[i] for i in own], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "sig", "items"])
 
-    found = wanted.select("text", "node", "k1", "k2").mapInArrow(run, "node long, items binary")
-    return keep(found.groupBy("node").agg(F.first("items").alias("items")), "sets")
+    found = wanted.select("text", "node", "k1", "k2", "sig").mapInArrow(run, "node long, sig binary, items binary")
+    return keep(found.groupBy("node").agg(F.first("sig").alias("sig"), F.first("items").alias("items")), "sets")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
