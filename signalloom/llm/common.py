@@ -82,18 +82,27 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = randoms(256, 1)
-_BASE = int(randoms(1, 2)[0]) | 1
-_POWERS: list[np.ndarray] = [np.ones(0, U), np.ones(0, U)]
+_BASES = [int(x) | 1 for x in randoms(2, 2)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept for the next call."""
-    if len(_POWERS[0]) < n:
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64, kept for the next call."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        both = []
+        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             p = np.full(n, b, dtype=U)
             p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            both.append(np.multiply.accumulate(p))
+        _POWERS[which] = both[0], both[1]
+    return _POWERS[which][0][:n], _POWERS[which][1][:n]
+
+
+def span_hash(b: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of bytes; equal stretches have equal hashes wherever they are.  Two kinds, by ``which``."""
+    power, inverse = _powers(max(1, len(b)), which)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[b] * power[:len(b)], dtype=U)))
+    return mix((sums[end] - sums[start]) * inverse[np.minimum(start, len(b) - 1)] + (end - start).astype(U))
 
 
 class Words:
@@ -117,9 +126,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            power, inverse = _powers(len(self.bytes))
-            sums = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[self.bytes] * power, dtype=U)))
-            self._hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
+            self._hash = span_hash(self.bytes, self.start, self.end)
         return self._hash
 
     def counts(self) -> np.ndarray:

@@ -6,6 +6,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_tasks, new_path, pieces
+from .common import n_tasks, new_path, pieces, span_hash
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -35,8 +37,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level
     for bit in range(width - 1, -1, -1):
         ones = (v >> bit & 1).astype(bool)
         parts.append(np.packbits(ones, bitorder="little").tobytes())
-        v = np.concatenate((v[~ones], v[ones]))
-        zeros.append(len(v) - int(np.count_nonzero(ones)))
+        zero = np.flatnonzero(~ones)
+        v = np.concatenate((v.take(zero), v.take(np.flatnonzero(ones))))
+        zeros.append(len(zero))
     packed = [zstandard.ZstdCompressor(level=level).compress(p) for p in parts]
     sizes = [len(p) for p in packed]
     head = struct.pack("<4sBQQ", MAGIC, width, len(ids), len(doc_ids)) + struct.pack(f"<{width}Q{width + 1}Q", *zeros, *sizes)
@@ -109,8 +112,8 @@ class Shard:
         """How often ``token`` is among the ids from ``start`` to ``end``."""
         if token >> self.width:
             return 0
-        a, b = self._range(token, start, self.n if end is None else end)
-        return b - a
+        a, b = self._range(token, min(start, self.n), self.n if end is None else min(end, self.n))
+        return max(0, b - a)
 
     def occurrence(self, token: int, k: int) -> int:
         """Place of the ``k``-th (from 0) ``token``."""
@@ -128,8 +131,8 @@ class Shard:
         for level in range(self.width - 1, -1, -1):
             ones = self.bits(level)
             out = np.empty_like(v)
-            out[~ones] = v[:self.zeros[level]]
-            out[ones] = v[self.zeros[level]:] | v.dtype.type(1 << (self.width - 1 - level))
+            out[np.flatnonzero(~ones)] = v[:self.zeros[level]]
+            out[np.flatnonzero(ones)] = v[self.zeros[level]:] | v.dtype.type(1 << (self.width - 1 - level))
             v = out
         return v
 
@@ -137,62 +140,127 @@ class Shard:
 # ---- the encoder --------------------------------------------------------------------------------
 
 
-#: A single space between characters that are no white space.
-_GAP = re.compile(r"(?<=\S) (?=\S)")
+def _of(*codes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[[c for x in codes for c in (x if isinstance(x, range) else [x])]] = True
+    return out
+
+
+#: Kinds of UTF-8 bytes.  Visible: an ASCII sign, or the first byte of a character of which none is white space.
+_VISIBLE = _of(range(33, 127), range(0xC3, 0xE1), range(0xE4, 0xF5))
+_LETTER = _of(range(65, 91), range(97, 123))
+_STOP = _of(*b".,;:!?)")
+_INNER = _of(range(0x80, 0xC0))
+
+
+def stretches(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Starts of stretches of the texts in ``b`` that begin at ``starts``, such that no word of the pattern crosses one.
+
+    Cut are: before a single space or line feed between visible characters, behind such a line feed, and before a stop behind a
+    letter.  What is not surely so (other white space, rare scripts' marks) is not cut; a longer stretch is right too.
+    """
+    n = len(b)
+    if not n:
+        return starts[:0]
+    pad = np.concatenate((np.zeros(3, np.uint8), b, np.zeros(1, np.uint8)))
+    here, left, left2, left3, right = pad[3:-1], pad[2:-2], pad[1:-3], pad[:-4], pad[4:]
+    inner = _INNER[left]
+    two = inner & (left2 >= 0xC3) & (left2 <= 0xDF)
+    three = inner & _INNER[left2] & (_VISIBLE[left3] & (left3 >= 0xE0))
+    before = (_VISIBLE[left] & (left < 128)) | two | three
+    cut = before & _VISIBLE[right] & ((here == 32) | (here == 10))
+    cut[1:] |= cut[:-1] & (here[:-1] == 10)
+    letter = _LETTER[left] | (inner & (left2 == 0xC3) & (left != 0x97) & (left != 0xB7))
+    cut |= letter & _STOP[here]
+    cut[starts[starts < n]] = True
+    return np.flatnonzero(cut)
+
+
+#: A stretch that is one word of the pattern for sure, so that the model can be asked directly.
+_WORD = re.compile("(?: |)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: The model's sign of each byte: visible Latin-1 signs stand for themselves, the others follow from 256 on.
+_SIGN, _more = {}, 256
+for _c in range(256):
+    if not (33 <= _c <= 126 or 161 <= _c <= 172 or _c >= 174):
+        _SIGN[_c], _more = chr(_more), _more + 1
+
+
+def _signs(s: str) -> str:
+    """A word as the byte-level model writes it."""
+    if s.isascii():
+        return "\u0120" + s[1:] if s[0] == " " else s
+    return s.encode().decode("latin-1").translate(_SIGN)
 
 
 class Encoder:
     """Ids of whole texts as the tokenizer gives them, encoding each distinct stretch once.
 
-    A byte-level BPE splits text into words by a pattern and merges inside words only.  Wherever a single space
-    stands between characters that are no white space, a word of the pattern starts at that space, whatever
-    is around; so texts are cut there and the tokenizer is asked for stretches not seen before.  The memory is emptied
-    when it has ``limit`` stretches, which changes nothing but time.
+    A byte-level BPE splits text into words by a pattern and merges inside words only, so the ids of a stretch that ends where
+    words end do not depend on what is around it.  Stretches are known by two 64-bit hashes.  The memory is emptied when it has
+    ``limit`` stretches, which changes nothing but time.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
         self._forget()
 
     def _forget(self) -> None:
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-        self.at, self.flat, self.more = [0], np.zeros(0, np.uint32), []
-
-    def _learn(self, known: dict[str, int], new: list[str], lead: str) -> None:
-        for s, e in zip(new, self.tokenizer.encode_batch_fast([lead + s for s in new], add_special_tokens=False)):
-            known[s] = len(self.at) - 1
-            self.more += e.ids
-            self.at.append(self.at[-1] + len(e.ids))
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > self.limit:
+        self.names, self.checks, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16)
+
+    def _learn(self, names: np.ndarray, checks: np.ndarray, new: list[str]) -> None:
+        word = self.tokenizer.model.tokenize
+        ids = [[x.id for x in word(_signs(s))] if _WORD(s) else None for s in new]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+            ids[i] = e.ids
+        code = np.arange(len(new)) + len(self.at) - 1
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in ids])))
+        more = np.fromiter(chain.from_iterable(ids), np.uint32)
+        self.flat = np.concatenate((self.flat, more if more.size and more.max() > 0xFFFF else more.astype(np.uint16)))
+        to = np.searchsorted(self.names, names)
+        self.names, self.checks, self.codes = np.insert(self.names, to, names), np.insert(self.checks, to, checks), np.insert(self.codes, to, code)
+
+    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.names) > self.limit:
             self._forget()
-        codes = []
-        for t in texts:
-            head, *rest = _GAP.split(t)
-            if head not in self.first:
-                self._learn(self.first, [head], "")
-            try:
-                own = list(map(self.later.__getitem__, rest))
-            except KeyError:
-                self._learn(self.later, list({s for s in rest if s not in self.later}), " ")
-                own = list(map(self.later.__getitem__, rest))
-            codes += [self.first[head], *own, -1]
-        self.flat = np.concatenate((self.flat, np.array(self.more, np.uint32)))
-        self.more = []
-        code, at = np.array(codes, np.int64), np.array(self.at)
-        ends = np.flatnonzero(code < 0)
-        code[ends] = 0
-        n = at[code + 1] - at[code]
-        n[ends] = 0
-        to = np.cumsum(n)
-        ids = self.flat[np.repeat(at[code] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
-        return np.split(ids, to[ends][:-1])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        b = np.frombuffer(b"".join(texts), np.uint8)
+        starts = stretches(b, np.cumsum(sizes) - sizes)
+        if not len(starts):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        ends = np.append(starts[1:], len(b))
+        names, first, code = np.unique(span_hash(b, starts, ends), return_index=True, return_inverse=True)
+        checks = span_hash(b, starts[first], ends[first], 1)
+        unknown = np.flatnonzero(~self._holds(names, checks))
+        if len(unknown):
+            self._learn(names[unknown], checks[unknown], [b[starts[i]:ends[i]].tobytes().decode() for i in first[unknown]])
+        code = self.codes[np.searchsorted(self.names, names)][code]
+        start, n = self.at[code], self.at[code + 1] - self.at[code]
+        to = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        ids = self.flat[np.repeat(start - to[:-1], n) + np.arange(to[-1])].astype(np.uint32)
+        return np.split(ids, to[np.searchsorted(starts, np.cumsum(sizes))][:-1])
+
+    def _holds(self, names: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(names), bool)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        held = self.names[at] == names
+        if (held & (self.checks[at] != checks)).any():
+            raise ValueError("two stretches have one hash")
+        return held
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, whose memory serves all its tasks."""
+    return Encoder(path)
 
 
 # ---- the job ------------------------------------------------------------------------------------
@@ -212,7 +280,7 @@ def write_shards(docs: DataFrame, tie: Column, path: str, tokenizer: str, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, own = TaskContext.get().partitionId(), encoder(tokenizer)
         names, ids, held, number = [], [], 0, 0
 
         def shard():
@@ -221,7 +289,7 @@ def write_shards(docs: DataFrame, tie: Column, path: str, tokenizer: str, end_id
 
         end = np.array([end_id], np.uint32)
         for batch, texts in pieces(batches):
-            for d, x in zip(batch.column(0).to_pylist(), encoder.batch([(t or b"").decode() for t in texts])):
+            for d, x in zip(batch.column(0).to_pylist(), own.batch([t or b"" for t in texts])):
                 names.append(d)
                 ids.append(np.concatenate((x, end)))
                 held += len(ids[-1])
