@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, z
         return pd.DataFrame({"archive": [key[0]], "data": [done]})
 
     files = rows.groupBy("archive").applyInPandas(build, "archive int, data binary")
-    files.select("archive", F.col("data").cast("string").alias("value")).write.partitionBy("archive").text(path)
+    files.select("archive", F.col("data").cast("string").alias("value")).write.partitionBy("archive").option("compression", "none").text(path)
 
 
 def archive_list(spark: SparkSession, path: str) -> DataFrame:
