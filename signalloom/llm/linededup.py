@@ -52,6 +52,18 @@ def _variants(flagged: DataFrame) -> DataFrame:
     return f.select(F.xxhash64("half", variant).alias("vk"), (F.col("p") - 1).alias("pos"), "id")
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``wanted``: a bitmap of ``bits`` hashed keys (1 MB, whatever the input) goes to
+    all tasks.  With more wanted keys than bits it lets all rows pass, and the join behind it decides as before."""
+    slot = lambda: F.pmod(F.xxhash64(F.lit(11), key), F.lit(bits)) + 1
+    maps = wanted.select(slot().alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_map"))
+    at = F.bitmap_bit_position(slot())
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1
+    held = rows.withColumn("_bucket", F.bitmap_bucket_number(slot())).join(F.broadcast(maps), "_bucket")
+    return held.withColumn("_byte", byte).withColumn("_at", at).filter(found).select(*rows.columns)
+
+
 def near_lines(distinct: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     """(k1, k2) of distinct lines that have an earlier line within one edit.
 
@@ -63,7 +75,7 @@ def near_lines(distinct: DataFrame, lines: DataFrame, min_chars: int) -> DataFra
     shared = halves.groupBy("hk").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("hk")
     flags = halves.join(shared, "hk", "left_semi").groupBy("k1", "k2").agg(F.collect_set("flag").alias("flags"))
     flags = keep(flags, "flagged")
-    texts = lines.join(flags, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("flags").alias("flags"), F.first("line").alias("line"))
+    texts = _maybe(lines, flags, "k1").join(flags, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("flags").alias("flags"), F.first("line").alias("line"))
     # Ids rise with the lines' first places: they are given to a sorted table as it is written.
     nodes = keep(texts.orderBy("at").withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.length("line")), "flagged-lines")
     v = _variants(nodes.select("id", "line", "size", F.explode("flags").alias("flag")))
