@@ -100,6 +100,15 @@ def measured_order(sample: list[bytes], rules=RULES) -> tuple[list[int], list[di
     return [x["rule"] for x in sorted(found, key=lambda x: (-x["rejects"] / x["seconds"], x["seconds"], x["rule"]))], found
 
 
+def sampled_texts(docs: DataFrame, rows: int, chars: int) -> list[bytes]:
+    """Texts of the ``rows`` rows with the smallest hashes: first the hash they end at, then these rows alone."""
+    d = docs.select("text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    last = d.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [(r[0] or "").encode() for r in d.filter(F.col("h") <= last).select(F.substring("text", 1, chars)).limit(rows).collect()]
+
+
 def cascade(docs: DataFrame, rules=RULES, order: list[int] | None = None, counts: bool = False, sample_rows: int = 400, sample_chars: int = 20_000) -> DataFrame:
     """Add ``kept`` and ``failed_rule`` (the first rule of the cascade that rejected the row, else null).
 
@@ -111,9 +120,7 @@ def cascade(docs: DataFrame, rules=RULES, order: list[int] | None = None, counts
     empty result; columns with the names of results are replaced.
     """
     if order is None:
-        some = docs.select(F.substring("text", 1, sample_chars).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-        taken = some.orderBy("h", "text").limit(sample_rows).select("text").collect()
-        order, _ = measured_order([(r.text or "").encode() for r in taken], rules)
+        order, _ = measured_order(sampled_texts(docs, sample_rows, sample_chars), rules)
     ordered = [rules[i] for i in order]
     names = COUNTS if counts else ()
     kept = kept_columns(docs, (*names, "kept", "failed_rule"))
