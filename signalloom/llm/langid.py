@@ -120,27 +120,32 @@ def has_letter(text: bytes) -> bool:
     return lower != text.upper() or any(c.isalpha() for c in text.decode(errors="replace"))
 
 
-def sample(docs: DataFrame, per_label: int, seed: str, chars: int = 1024) -> DataFrame:
+def sample(docs: DataFrame, per_label: int, seed: str, max_labels: int, chars: int = 1024) -> list[tuple[str, str]]:
     """At most ``per_label`` rows of each label by the smallest hash, each with a stretch of ``chars`` at a hashed place.
 
-    A bounded sample by design: labels are few, and only labels * per_label * chars characters reach the driver.
+    A bounded sample by design: at most ``max_labels`` labels, and only labels * per_label * chars characters reach the driver.
     """
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
     start = F.pmod(key, F.greatest(F.lit(1), F.length("text") - chars)) + 1
-    d = docs.filter("text is not null and lang is not null").select("lang", key.alias("_h"), F.col("text").substr(start.cast("int"), F.lit(chars)).alias("text"))
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text")))
-    return d.filter(F.col("_n") <= per_label).select("lang", "text")
+    d = docs.filter("text is not null and lang is not null").select("lang", "text", key.alias("_h"), start.alias("_at"))
+    # First where each label's smallest hashes end, from hashes alone; then the texts of these rows alone.
+    ranked = d.select("lang", "_h").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_n") <= per_label)
+    ends = {r[0]: r[1] for r in ranked.groupBy("lang").agg(F.max("_h")).orderBy("lang").limit(max_labels).collect()}
+    if not ends:
+        return []
+    end = F.create_map(*[F.lit(x) for kv in ends.items() for x in kv])
+    rows = d.filter(F.col("_h") <= F.try_element_at(end, F.col("lang"))).select("lang", F.col("text").substr(F.col("_at").cast("int"), F.lit(chars)).alias("text"))
+    return [(r.lang, r.text) for r in rows.distinct().limit(per_label * len(ends)).collect()]
 
 
 def fit(docs: DataFrame, per_label: int = 300, seed: str = "sample", max_labels: int = 200) -> Net | None:
     """Train on ``per_label`` stretches per label; null if there is nothing to learn from."""
-    rows = sample(docs, per_label, seed).collect()
-    labels = sorted({r.lang for r in rows})[:max_labels]
+    texts = sorted((lang, text) for lang, text in sample(docs, per_label, seed, max_labels) if has_letter(text.encode()))
+    labels = sorted({lang for lang, _ in texts})
     if not labels:
         return None
-    texts = sorted((r.lang, r.text) for r in rows if r.lang in set(labels) and has_letter(r.text.encode()))
     x, row = windows([t.encode() for _, t in texts])
-    y = np.array([labels.index(lang) for lang, _ in texts])[row] if texts else np.zeros(0, int)
+    y = np.array([labels.index(lang) for lang, _ in texts])[row]
     return train(x, y, labels)
 
 
