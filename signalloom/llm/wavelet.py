@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_tasks, new_path, pieces, span_hash
+from .common import keep, n_tasks, new_path, pieces, span_hash
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -300,7 +300,7 @@ def write_shards(docs: DataFrame, tie: Column, path: str, tokenizer: str, end_id
             yield shard()
 
     files = rows.mapInArrow(run, "shard string, data binary")
-    files.select("shard", F.col("data").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    files.select("shard", F.col("data").cast("string").alias("value")).write.partitionBy("shard").option("compression", "none").text(path)
 
 
 def shard_files(spark, path: str) -> DataFrame:
@@ -322,7 +322,7 @@ def read_documents(spark, path: str) -> DataFrame:
                     names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = shard_files(spark, path).mapInArrow(run, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = keep(shard_files(spark, path).mapInArrow(run, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long"), "read-back")
     sizes = docs.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.substring("shard", 1, 7))
     # Two levels: shards within a task's range, then one number per task.
     parts = sizes.groupBy("part").agg(F.sum("n").alias("m")).withColumn("part_start", F.sum("m").over(Window.orderBy("part")) - F.col("m"))
@@ -341,12 +341,9 @@ def token_index(docs: DataFrame, tie: Column, tokenizer: str, **options) -> Data
     spark = docs.sparkSession
     path = new_path(spark, "wavelet")
     write_shards(docs, tie, path, tokenizer, **options)
-    from .common import keep
-
     if not path_has_files(spark, path):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    back = read_documents(spark, path)
-    return keep(back, "tokens")
+    return read_documents(spark, path)
 
 
 def path_has_files(spark, path: str) -> bool:
