@@ -143,7 +143,8 @@ def resolve_entities(mentions: DataFrame) -> DataFrame:
     groups = cut(m.groupBy("norm", "domain").agg(F.min("mention_id").alias("ord")))
     names = cut(groups.groupBy("norm").agg(F.min("ord").alias("head")))
     domains = groups.where("domain IS NOT NULL").groupBy("domain").agg(F.min("ord").alias("head"))
-    similar = fuzzy_pairs(names, names).where("l < r").select("l", "r")
+    # A short name is never l, so its pairs stand in one direction only.
+    similar = fuzzy_pairs(names, names).where("l <> r").select("l", "r")
     head = lambda x: names.select(F.col("norm").alias(x), F.col("head").alias(f"h{x}"))
     edges = groups.join(names, "norm").select(F.col("ord").alias("a"), F.col("head").alias("b"))
     edges = edges.unionByName(groups.join(domains, "domain").select(F.col("ord").alias("a"), F.col("head").alias("b")))

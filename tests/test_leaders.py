@@ -128,6 +128,29 @@ def test_resolution_equals_one_scan_of_all(spark):
     assert all(c in first.values() for c in want.values())
 
 
+def _check_resolution(spark, rows):
+    """resolve_entities of (mention_id, name, domain) rows equals one scan of all."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from signalloom.functions.text import norm_name
+
+    names = {r["name"]: r["norm"] for r in spark.createDataFrame([(r[1],) for r in rows], "name string").select("name", norm_name(F.col("name")).alias("norm")).collect()}
+    first = {}
+    for i, name, domain in rows:
+        first.setdefault((names[name], domain), i)
+    whole = resolve._scan(pd.DataFrame([(o, n, d) for (n, d), o in first.items()], columns=["ord", "norm", "domain"]))
+    want = {(n, d): c for n, d, c in whole.itertuples(index=False)}
+    assert _resolve(spark, rows) == {i: want[names[n], d] for i, n, d in rows}
+
+
+def test_a_short_name_resolves_longer_ones(spark):
+    assert _resolve(spark, [(1, "Acme", None), (2, "Acmee", None), (3, "Zed", None)]) == {1: 1, 2: 1, 3: 3}
+    rnd = random.Random(5)
+    stems = ["acme", "acmee", "zedo", "zed", "zedow", "acmeer", "quor", "quorv"]
+    _check_resolution(spark, [(i, rnd.choice(stems), rnd.choice([None, None, None, "a.com", "b.com"])) for i in range(1, 60)])
+
+
 def test_chunked_event_fold_equals_one_chunk(spark):
     rnd = random.Random(9)
     rows = [(i, 1 if i % 3 else 2, rnd.choice(["funding", "launch"]), f"u{rnd.randrange(60)}", rnd.choice([None, "Seed", "Series A", "Series B"]),
