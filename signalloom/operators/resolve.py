@@ -5,11 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..functions.similarity import _jaro_winkler, jaro_winkler
 from ..functions.text import norm_name
-from .graph import components
 from .state import cut
 
 
@@ -100,7 +100,10 @@ def match_tiers(mentions: DataFrame, companies: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- whole resolution
 def _scan(groups: pd.DataFrame) -> pd.DataFrame:
-    """One pass over groups (ord, norm, domain) in order of arrival: domain, exact name, alias, fuzzy name, else a new company."""
+    """One pass over groups (ord, norm, domain) in order of arrival: domain, exact name, alias, fuzzy name, else a new company.
+
+    The plain form of ``resolve_entities``, which the tests compare it with.
+    """
     companies: list[dict] = []
     by_domain: dict[str, dict] = {}
     by_norm: dict[str, dict] = {}
@@ -136,20 +139,49 @@ def resolve_entities(mentions: DataFrame) -> DataFrame:
     first mention: to the company with its domain, or of its name, or with it as alias, or of the most similar name; else it is a
     new company.  A company adopts the first domain that it comes with and no other.
 
-    Groups that share a name or a domain, or whose names are similar, are connected; nothing outside a connected set bears on it,
-    so each set of spellings is scanned in order on its own.  A company id always is the id of a company's first mention.
+    Where a group goes depends on earlier groups only.  Each round places all groups by the companies and adopted domains of the
+    round before, so at least one more group, in order of arrival, is right for good after each; a round that changes no company
+    and no domain gives what ``_scan`` gives.  Rounds are aggregates and joins, and no set of groups is gathered; their number
+    is that of the longest chain of decisions.  A company id always is the id of a company's first mention.
     """
     m = mentions.select("mention_id", norm_name(F.col("name")).alias("norm"), F.when(F.col("domain") != "", F.col("domain")).alias("domain")).where(F.col("norm") != "")
     groups = cut(m.groupBy("norm", "domain").agg(F.min("mention_id").alias("ord")))
-    names = cut(groups.groupBy("norm").agg(F.min("ord").alias("head")))
-    domains = groups.where("domain IS NOT NULL").groupBy("domain").agg(F.min("ord").alias("head"))
+    names = cut(groups.groupBy("norm").agg(F.min("ord").alias("ord")))
     # A short name is never l, so its pairs stand in one direction only.
-    similar = fuzzy_pairs(names, names).where("l <> r").select("l", "r")
-    head = lambda x: names.select(F.col("norm").alias(x), F.col("head").alias(f"h{x}"))
-    edges = groups.join(names, "norm").select(F.col("ord").alias("a"), F.col("head").alias("b"))
-    edges = edges.unionByName(groups.join(domains, "domain").select(F.col("ord").alias("a"), F.col("head").alias("b")))
-    edges = edges.unionByName(similar.join(head("l"), "l").join(head("r"), "r").select(F.col("hl").alias("a"), F.col("hr").alias("b")))
-    placed = groups.join(components(edges).withColumnRenamed("node", "ord"), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
-    found = placed.groupBy("root").applyInPandas(_scan, "norm string, domain string, company_id long")
+    similar = cut(fuzzy_pairs(names, names).where("l <> r"))
+    founders, owners, state = names, groups.select("domain", F.col("ord").alias("at"), F.col("ord").alias("company_id")).limit(0), None
+    while True:
+        placed, founders, owners = _place(groups, similar, founders, owners)
+        now = tuple(founders.agg(F.count("*"), F.bit_xor(F.xxhash64("norm", "ord"))).first()) + tuple(owners.agg(F.count("*"), F.bit_xor(F.xxhash64("domain", "at", "company_id"))).first())
+        if now == state:
+            break
+        state = now
     same_domain = F.col("m.domain").eqNullSafe(F.col("f.domain"))
-    return m.alias("m").join(found.alias("f"), (F.col("m.norm") == F.col("f.norm")) & same_domain).select("m.mention_id", "f.company_id")
+    return m.alias("m").join(placed.alias("f"), (F.col("m.norm") == F.col("f.norm")) & same_domain).select("m.mention_id", "f.company_id")
+
+
+def _place(groups: DataFrame, similar: DataFrame, founders: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All groups (ord, norm, domain, company_id) by the last round's founders (norm, ord) and owners (domain, at, company_id), and the new ones of both."""
+    g = groups.join(owners, "domain", "left").select("ord", "norm", "domain", F.when(F.col("at") < F.col("ord"), F.col("company_id")).alias("company_id"))
+    g = cut(g)
+    owned, rest = g.where("company_id IS NOT NULL"), g.where("company_id IS NULL").drop("company_id")
+    head = groups.select(F.col("ord").alias("company_id"), F.substring("norm", 1, 2).alias("block"))
+    alias = owned.join(head, "company_id").where(F.col("block") == F.substring("norm", 1, 2)).groupBy("norm", "company_id").agg(F.min("ord").alias("at"))
+    # One group of a name can be the first without domain or alias; it founds a company or goes to the most similar one.
+    first = rest.groupBy("norm").agg(F.min("ord").alias("first")).join(alias.groupBy("norm").agg(F.min("at").alias("known")), "norm", "left")
+    first = first.where("known IS NULL OR first < known").select("norm", "first")
+    near = similar.join(founders.select(F.col("norm").alias("r"), "ord"), "r").join(first.withColumnRenamed("norm", "l"), "l").where("ord < first")
+    near = near.groupBy(F.col("l").alias("norm")).agg(F.max_by("ord", F.struct("score", (-F.col("ord")).alias("o"))).alias("near"))
+    first = cut(first.join(near, "norm", "left"))
+    founded, moved = first.where("near IS NULL"), first.where("near IS NOT NULL")
+    # Later groups of a founder's name are its own; others go to the lowest id among the aliases so far.
+    by_name = rest.join(founded, "norm").select("ord", "norm", "domain", F.col("first").alias("company_id"))
+    at_first = rest.join(moved, "norm").where("ord = first").select("ord", "norm", "domain", F.col("near").alias("company_id"))
+    aliases = alias.select("norm", "company_id", "at").unionByName(moved.select("norm", F.col("near").alias("company_id"), F.col("first").alias("at")))
+    so_far = F.min("company_id").over(Window.partitionBy("norm").orderBy("at", "company_id").rowsBetween(Window.unboundedPreceding, -1))
+    lowest = aliases.join(founded.select("norm"), "norm", "left_anti").withColumn("_before", so_far).where("_before IS NULL OR company_id < _before").drop("_before")
+    by_alias = rest.join(lowest, "norm").where("at < ord").groupBy("ord", "norm", "domain").agg(F.min("company_id").alias("company_id"))
+    named = cut(by_name.unionByName(at_first).unionByName(by_alias))
+    adopted = named.where("domain IS NOT NULL").groupBy("company_id").agg(F.min(F.struct(F.col("ord").alias("at"), "domain")).alias("a"))
+    owners = adopted.groupBy("a.domain").agg(F.min(F.struct("a.at", "company_id")).alias("o")).select("domain", "o.at", "o.company_id")
+    return owned.select("ord", "norm", "domain", "company_id").unionByName(named), cut(founded.select("norm", F.col("first").alias("ord"))), cut(owners)

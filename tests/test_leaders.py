@@ -151,6 +151,24 @@ def test_a_short_name_resolves_longer_ones(spark):
     _check_resolution(spark, [(i, rnd.choice(stems), rnd.choice([None, None, None, "a.com", "b.com"])) for i in range(1, 60)])
 
 
+def test_no_set_of_groups_goes_to_one_task(spark, monkeypatch):
+    """A domain with a third of all mentions, chains of spellings and domains that join names of other blocks, without Python scans."""
+    from pyspark.sql.group import GroupedData
+
+    def gathered(*_a, **_k):
+        raise AssertionError("groups are gathered")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", gathered)
+    rnd = random.Random(11)
+    stems = ["alphabeta", "zedworks", "quorvexa", "alphabets", "acme", "acmee", "acmes", "beta", "betas"]
+    rows = []
+    for i in range(1, 400):
+        s = rnd.choice(stems)
+        s = s if len(s) < 6 or rnd.random() < 0.4 else s[: rnd.randrange(5, len(s))] + rnd.choice("qzx") * rnd.randrange(3) + s[-2:]
+        rows.append((i, s, rnd.choice(["hot.com", None, f"{rnd.choice(stems)}.com", f"{rnd.choice('abc')}.com"])))
+    _check_resolution(spark, rows)
+
+
 def test_chunked_event_fold_equals_one_chunk(spark):
     rnd = random.Random(9)
     rows = [(i, 1 if i % 3 else 2, rnd.choice(["funding", "launch"]), f"u{rnd.randrange(60)}", rnd.choice([None, "Seed", "Series A", "Series B"]),
