@@ -196,7 +196,8 @@ class Encoder:
     """Ids of whole texts as the tokenizer gives them, encoding each distinct stretch once.
 
     A byte-level BPE splits text into words by a pattern and merges inside words only, so the ids of a stretch that ends where
-    words end do not depend on what is around it.  Stretches are known by two 64-bit hashes.  The memory is emptied when it has
+    words end do not depend on what is around it.  A special token that stands in the text, such as ``<|endoftext|>``, gets its own id,
+    and no stretch is cut inside it.  Stretches are known by two 64-bit hashes.  The memory is emptied when it has
     ``limit`` stretches, which changes nothing but time.
     """
 
@@ -207,7 +208,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
         self._forget()
 
     def _forget(self) -> None:

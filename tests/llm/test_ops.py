@@ -321,6 +321,18 @@ def test_encoder_equals_tokenizer():
     assert e.batch([]) == []
 
 
+def test_encoder_equals_the_tokenizer_as_loaded():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.default_tokenizer())
+    e, r = wavelet.Encoder(queries.default_tokenizer(), limit=50), random.Random(8)
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>b", "x.\n<|endoftext|>\ny", "a <|endoftext|>, b", "<|endoftext|><|endoftext|>", "<|endoftext |>"]
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|", "|>", "endoftext", " ", " ", "\n", "  ", "a", "Zb", "'s", ".", ",", "!", ")", "1", "é", "字", "\t", "\u3000", "😀"]
+    texts += ["".join(r.choice(parts) for _ in range(12)) for _ in range(3000)]
+    for t, ids in zip(texts, e.batch([t.encode() for t in texts])):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def token_rows(rows):
     """(doc_id, start, n_tokens, crc) of (doc_id, text) rows that are in order."""
     t, start, out = wavelet.Encoder(queries.default_tokenizer()).tokenizer, 0, []
