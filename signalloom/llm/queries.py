@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, minhash, mixing, quality, sharding, substrings, warczip, wavelet
+from . import align, audit, decontam, langid, linededup, minhash, mixing, quality, sharding, substrings, warczip, wavelet
 from .common import WORD, keep, table
 
 #: SQL pieces that the twins share.  DuckDB's character class needs no escapes of its own.
@@ -185,3 +185,37 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     done = langid.predict(docs.select("doc_id", "text"), net)
     return done.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+AUDIT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {SQL_WORDS.format('text')} AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+             (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS f
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+x AS (SELECT unnest(range(5)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', i::INT + 1, 1)), '') AS filter_order, step, 1 << o[step]::INT AS bit,
+             coalesce(list_sum(list_transform(o[1:step - 1], lambda i: 1 << i::INT)), 0)::INT AS before FROM o, (SELECT unnest(generate_series(1, 5))::INT AS step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (f & (before | bit) = 0) AS kept, sum(n) FILTER (f & before = 0 AND f & bit <> 0) AS removed,
+             sum(n) FILTER (f & before <> 0 AND f & bit <> 0) AS redundant, sum(n) FILTER (f = bit) AS unique_fails,
+             sum(good) FILTER (f & before = 0 AND f & bit <> 0) AS good_lost, sum(toxic) FILTER (f & before = 0 AND f & bit <> 0) AS toxic_lost
+      FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), default_tokenizer(), str(public_tokenizers.path("piece_bpe_32k.model")))
