@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, audit, decontam, langid, linededup, minhash, mixing, quality, sharding, substrings, warczip, wavelet
+from . import align, audit, decontam, identifiers, langid, linededup, minhash, mixing, quality, sharding, substrings, warczip, wavelet
 from .common import WORD, keep, table
 
 #: SQL pieces that the twins share.  DuckDB's character class needs no escapes of its own.
@@ -187,6 +187,16 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the plain matches; ``spans`` and ``n_hidden`` have the disguised ones too."""
+    done = identifiers.identifiers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    n = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in identifiers.KINDS]
+    hidden = (F.size("spans") - F.size(base)).cast("long").alias("n_hidden")
+    return done.select("doc_id", *n, F.sha2(identifiers.digest(base), 256).alias("base_sha256"), identifiers.digest(F.col("spans")).alias("spans"), hidden)
+
+
 AUDIT_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {SQL_WORDS.format('text')} AS w FROM documents),
 l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),

@@ -17,4 +17,4 @@ def test_query_equals_twin(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
-    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 14))
