@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import kept_columns
 
@@ -175,7 +176,7 @@ _CODED = re.compile(r"(?P<at>&#0*64;|&#x0*40;|&commat;|%40)|&#0*46;|&#x0*2e;|&pe
 _GAP = r"(?:[\x20\t_-]{1,3}|\n)"
 _BARE_DOT = re.compile(rf"(?<=[a-z0-9]){_GAP}(?:{_words(DOT_WORDS)}){_GAP}(?=[a-z0-9])")
 _GLUED = {w: re.compile(rf"(?<=[a-z0-9]){w}(?=[a-z0-9])") for w in ("AT", "DOT")}
-_SPACED = re.compile(rf"(?<=[a-z0-9])\x20?@\x20?(?=([a-z0-9-]++(?:\x20?\.\x20?[a-z0-9-]++)*?\x20?\.\x20?{_END}))")
+_SPACED = re.compile(rf"(?<=[a-z0-9])\x20?@\x20?(?=([a-z0-9-]++(?:\x20?\.\x20?[a-z0-9-]++)*?\x20?\.\x20?{_END}(?!\x20\.\x20)))")
 _SPACED_DOT = re.compile(r"(?<=[a-z0-9])(?:\x20\.\x20?|\.\x20)(?=[a-z0-9])")
 _DOMAIN = rf"[a-z0-9-]++(?:\.[a-z0-9-]++)*?\.{_END}"
 _ANY_END = re.compile(rf"\.{_END}")
@@ -337,7 +338,7 @@ def identifiers(docs: DataFrame, text: str = "text") -> DataFrame:
     equal spans; an empty table stays empty.
     """
     columns = kept_columns(docs, ["spans"])
-    schema = docs.select(*columns).schema.add("spans", SPANS)
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("spans", T.DataType.fromDDL(SPANS))])
     at = columns.index(text)
     fields = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("identifier", pa.string())])
 

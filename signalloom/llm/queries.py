@@ -192,7 +192,8 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the plain matches; ``spans`` and ``n_hidden`` have the disguised ones too."""
     done = identifiers.identifiers(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
-    n = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in identifiers.KINDS]
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    n = [count(k) for k in identifiers.KINDS]
     hidden = (F.size("spans") - F.size(base)).cast("long").alias("n_hidden")
     return done.select("doc_id", *n, F.sha2(identifiers.digest(base), 256).alias("base_sha256"), identifiers.digest(F.col("spans")).alias("spans"), hidden)
 

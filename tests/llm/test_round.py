@@ -51,7 +51,7 @@ def noise(r):
 
 def test_plain_spans_equal_patterns():
     r = random.Random(5)
-    texts = [noise(r) for _ in range(4000)] + ["1" * 70_000, "a." * 30_000, "+1" + " " * 30_000, "0" * 5000 + "1.2.3.4", "4" * 16 + " ", "1.1.1.1.1.1.1.1.256"]
+    texts = [noise(r) for _ in range(4000)] + ["1" * 5000, "a." * 3000, "+1" + " " * 3000, "0" * 4000 + "1.2.3.4", "4" * 16 + " ", "1.1.1.1.1.1.1.1.256"]
     for t in texts:
         assert [s[:3] for s in identifiers.find(t) if s[3]] == plain_spans(t), t[:200]
 
