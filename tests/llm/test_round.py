@@ -100,10 +100,10 @@ def test_identifiers_odd_and_masked(spark):
 
 
 def test_identifier_query(spark, tmp_path):
-    rows = [(1, f"{NAME} {IP} {PHONE} {CARD}"), (2, None), (3, ""), (4, "jan at host dot org")]
+    rows = [(1, f"{NAME}, {IP}, {PHONE}, {CARD}"), (2, None), (3, ""), (4, "jan at host dot org")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r.asDict() for r in queries.QUERIES["op11_personal_data"](spark, str(tmp_path)).collect()}
-    base = "email:0:24,ip:25:36,card:55:74,phone:37:54"
+    base = "email:0:24,ip:26:37,card:58:77,phone:39:56"
     none = hashlib.sha256(b"").hexdigest()
     assert got[1]["spans"] == base and got[1]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert [got[1][f"n_{k}"] for k in identifiers.KINDS] == [1] * 4
