@@ -25,8 +25,8 @@ def _scan(sets, similar):
     return leader
 
 
-@pytest.mark.parametrize("small_block,parts", [(256, 3), (2, 7)])
-def test_title_leaders_equal_a_sequential_scan(spark, monkeypatch, small_block, parts):
+@pytest.mark.parametrize("small_block,parts,one_task", [(256, 3, 500_000), (2, 7, 500_000), (4, 5, 0), (256, 2, 20)])
+def test_title_leaders_equal_a_sequential_scan(spark, monkeypatch, small_block, parts, one_task):
     import signalloom.operators.leaders as L
 
     rnd = random.Random(5)
@@ -39,7 +39,7 @@ def test_title_leaders_equal_a_sequential_scan(spark, monkeypatch, small_block,
         sets[i] = frozenset(s) or frozenset({"w0"})
     rows = spark.createDataFrame([(i, " ".join(sorted(s)) + " " + " ".join(sorted(s))) for i, s in sets.items()], "ord long, title string")
     elect = L.elect_leaders
-    monkeypatch.setattr(L, "elect_leaders", lambda a, b, c: elect(a, b, c, small_block))
+    monkeypatch.setattr(L, "elect_leaders", lambda a, b, c, n, split: elect(a, b, c, small_block, split, one_task=one_task))
     got = {r["ord"]: r["leader"] for r in dedup.near_dup_greedy(rows.repartition(parts)).collect()}
     assert got == _scan(sets, lambda a, b: _jac(a, b) >= 0.75)
 
@@ -59,6 +59,43 @@ def test_a_hot_group_of_variants_collapses_to_one_leader(spark):
     assert got.where("leader <> 0").count() == 0 and got.count() == 2000
 
 
+def test_unlike_titles_of_one_block_take_few_rounds(spark):
+    """20,000 titles share the two tokens that rank first and are all unlike; their block is parted instead of taking 256 a round."""
+    from signalloom.operators import blocks
+    from signalloom.operators.leaders import elect_leaders
+
+    n = 20_000
+    words = F.array(*[F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(400)).cast("string")) for k in range(10)])
+    sets = spark.range(n).select(F.col("id").alias("ord"), F.array_sort(F.concat(F.array(F.lit("aa"), F.lit("bb")), words)).alias("tokens"))
+    order = blocks.ranked(sets).withColumn("r", F.expr("array('aa', 'bb') || array_except(r, array('aa', 'bb'))"))
+    rounds = []
+    kept, edges = elect_leaders(sets, dedup.prefix_keys(order), dedup._similar_titles(0.75, None), split=blocks.deeper(order), seen=rounds.append)
+    assert kept.count() == n and edges is None and max(rounds) < 5
+
+
+@pytest.mark.parametrize("small_block", [3, 256])
+def test_stories_equal_a_sequential_scan(spark, monkeypatch, small_block):
+    """Sets of every size from one token on, hot categories, topics missing, far dates."""
+    monkeypatch.setattr(dedup, "STORY_BLOCK", small_block)
+    rnd, day = random.Random(11), 86_400_000_000
+    rows = []
+    for i in range(220):
+        tokens = rnd.sample([f"tok{k:02d}" for k in range(26)], rnd.choice([1, 1, 2, 2, 3, 4, 5, 6, 7, 9, 14]))
+        rows.append((i, rnd.choice(["m", "m", "x", None]), rnd.choice(["a", "b", None]), rnd.choice([rnd.randrange(20 * day), 7 * day, 14 * day, None]), tokens))
+    rows.sort(key=lambda r: (r[3] is not None, r[3] or 0, r[0]))
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "ord long, category string, topic string, ts_us long, tokens array<string>")
+
+    def same(a, b):
+        if None in (a[1], b[1], a[3], b[3]) or a[1] != b[1] or b[3] - a[3] >= 7 * day:
+            return False
+        shared, small = len(set(a[4]) & set(b[4])), min(len(a[4]), len(b[4]))
+        return shared / small >= 0.6 or shared >= 4 or (a[2] is not None and a[2] == b[2] and shared >= 2)
+
+    got = {r["ord"]: r["leader"] for r in dedup.story_leaders(df.repartition(5)).collect()}
+    assert got == _scan({r[0]: r for r in rows}, same)
+
+
 def test_story_window_and_topic(spark):
     day = 86_400_000_000
     data = [(1, 0, "m", "a", "solar parks grow"), (2, 3 * day, "m", "a", "solar parks shrink fast"), (3, 3 * day, "m", "b", "solar parks shrink slow maybe"),
