@@ -10,9 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of a key row besides ``ord``, ``key`` and the optional ``passive``: place of the last token (from 1), tokens in the key,
+#: Columns of a key row besides ``ord``, ``key``, ``size`` (tokens of the set) and the optional ``passive``: place of the last token (from 1), tokens in the key,
 #: shared tokens that the row counts on, and whether the row cannot be parted further.
 PLACE = ["pos", "depth", "need", "fixed"]
+#: Columns of the rows that `first_keys` makes.
+ROW = ["ord", "size", "key", *PLACE]
+
+
+def compact(tokens: Column) -> Column:
+    """Tokens as 64-bit hashes: what is compared pair by pair, at half the size and less."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def within_reach(shared: Column, a, b) -> Column:
+    """Whether two sets may share ``shared`` tokens if the key holds the first ones they share: what lies behind its place must do."""
+    rest = F.least(a("size") - a("pos"), b("size") - b("pos"))
+    return a("depth") + rest >= shared
 
 
 def ranked(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -30,8 +43,8 @@ def first_keys(rows: DataFrame, need: Column, prefix: Column) -> DataFrame:
     """
     kept = [c for c in rows.columns if c not in ("n", "r")]
     heads = rows.withColumn("need", need.cast("int")).where("n >= need").select(
-        *kept, "need", F.posexplode(F.expr("slice(r, 1, n - need + 1)")).alias("at", "token"))
-    return heads.select(*kept, F.xxhash64(prefix, "token").alias("key"), (F.col("at") + 1).alias("pos"), F.lit(1).alias("depth"), "need", (F.col("need") <= 1).alias("fixed"))
+        *kept, F.col("n").alias("size"), "need", F.posexplode(F.expr("slice(r, 1, n - need + 1)")).alias("at", "token"))
+    return heads.select(*kept, "size", F.xxhash64(prefix, "token").alias("key"), (F.col("at") + 1).alias("pos"), F.lit(1).alias("depth"), "need", (F.col("need") <= 1).alias("fixed"))
 
 
 def deeper(order: DataFrame):

@@ -76,7 +76,13 @@ def event_twins(signals: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     rows = signals.select(
         "signal_id", "company_id", "type", "url", "stage", "amount_usd_m", "occurred_us",
         token_list(F.col("title")).alias("tokens"))
+    return fold_twins(rows, chunk_rows)
+
+
+def fold_twins(rows: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """`event_twins` of rows that have ``tokens`` in place of the title."""
     extra = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
+    rows = rows.select("signal_id", "company_id", "type", "url", "stage", "amount_usd_m", "occurred_us", "tokens")
     return scan_in_order(rows, ["company_id", "type"], ["signal_id"], twin_step,
                          "signal_id long, stored_id long, counted boolean", **extra)
 

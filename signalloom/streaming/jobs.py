@@ -1,32 +1,40 @@
 """Structured Streaming jobs.
 
 Every job appends what arrives to a log, one version per micro-batch, and a batch that runs again replaces only its own
-version.  No row is dropped for being late: there are no watermarks on dates inside the items.  Results are recomputed from the
-log for the keys that a batch touches, so they do not depend on how the input was cut into batches or in which order it came;
-readers take the newest version of each key.
+version.  No row is dropped for being late: there are no watermarks on dates inside the items.  Event twins and first-told stories
+are keyed state; a batch reads the log only for keys whose late rows lie before what the state still holds.  So the cost of a batch
+does not grow with history, and results do not depend on how the input was cut into batches or in which order it came; readers
+take the newest version of each row.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed_values as fv
-from ..functions.text import url_key
 from ..operators import dedup, extract, gates, intel
 from ..operators.state import cut
-from ..operators.twins import event_twins
+from ..operators.twins import fold_twins
+from . import story_state, twin_state
+
+#: Folders of a log by hash of its key, so that a look-up of some keys reads some folders.
+BUCKETS = 64
 
 
 def _log(spark, root: str, upto: int, schema) -> DataFrame:
     """All versions of a log up to a batch, with their batch number."""
+    full = T.StructType([*(T.DataType.fromDDL(schema) if isinstance(schema, str) else schema).fields, T.StructField("batch", T.IntegerType())])
     try:
-        log = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+        log = spark.read.schema(full).option("basePath", root).parquet(f"{root}/batch=*")
     except Exception as e:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+        return spark.createDataFrame([], full)
     return log.where(F.col("batch") <= upto)
 
 
@@ -34,6 +42,37 @@ def _write(df: DataFrame, root: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
 
+def _write_buckets(df: DataFrame, root: str, batch: int, *keys: str) -> DataFrame:
+    """Write a batch by hash of its keys, and read it again: a state operator's output must be computed once."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch}")
+    return df.sparkSession.read.schema(df.withColumn("bucket", bucket).schema).parquet(f"{root}/batch={batch}")
+
+
+def _buckets(rows: DataFrame) -> list[int]:
+    """The buckets of some rows, ``BUCKETS`` numbers at most."""
+    return [r[0] for r in rows.select("bucket").distinct().collect()]
+
+
+@contextmanager
+def _keyed_state(spark, once: bool):
+    """Settings that a query with keyed state takes over when it starts.
+
+    Without them a run over what is available would go on for ever, since timers of the state ask for batches without data.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if once:
+        wanted["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _start(df: DataFrame, each, checkpoint: str, once: bool) -> StreamingQuery:
     w = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
@@ -80,44 +119,77 @@ def stream_process(items: DataFrame, root: str, checkpoint: str, once: bool = Fa
 
 
 # ---------------------------------------------------------------- events
-def stream_events(signals: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Twin detection over a stream: logs ``signals`` and, for every (company, type) that a batch touches, its ``twins`` anew.
+def stream_events(signals: DataFrame, root: str, checkpoint: str, once: bool = False, history: int = twin_state.HISTORY) -> StreamingQuery:
+    """Twin detection over a stream: logs ``arrived`` events and, for every event that a batch judges, its ``twins`` row.
 
-    An event that arrives late is folded in at its place in the order of signal_id.
+    The memory of each (company, type) is streaming state.  An event that arrives late is folded in at its place in the order of
+    signal_id: within the last ``history`` events of its key in the state, from before them out of the key's bucket of the log.
     """
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        _write(batch.select("signal_id", "company_id", "type", "title", "url", "stage", "amount_usd_m", "occurred_us"), f"{root}/signals", number)
-        log = _log(spark, f"{root}/signals", number, batch.schema)
-        touched = log.where(F.col("batch") == number).select("company_id", "type").distinct()
-        rows = log.drop("batch").join(touched, ["company_id", "type"], "left_semi")
-        twins = event_twins(rows).join(rows.select("signal_id", "company_id", "type"), "signal_id")
+        arrived = _write_buckets(batch, f"{root}/arrived", number, *twin_state.KEYS)
+        verdict = ["signal_id", "stored_id", "counted", *twin_state.KEYS]
+        twins = arrived.where("NOT beyond").select(*verdict)
+        keys = arrived.where("beyond").select(*[F.col(k).alias(f"_{k}") for k in twin_state.KEYS], "bucket").distinct()
+        buckets = _buckets(keys)
+        if buckets:
+            log = _log(batch.sparkSession, f"{root}/arrived", number, arrived.schema).where(F.col("bucket").isin(buckets))
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in twin_state.KEYS]
+            rows = cut(log.join(keys.drop("bucket"), same[0] & same[1], "left_semi").dropDuplicates(["signal_id"]))
+            again = fold_twins(rows).join(rows.select("signal_id", *twin_state.KEYS), "signal_id")
+            twins = twins.unionByName(again.select(*verdict))
         _write(twins, f"{root}/twins", number)
 
-    return _start(signals, each, checkpoint, once)
+    with _keyed_state(signals.sparkSession, once):
+        return _start(twin_state.judged(signals, history), each, checkpoint, once)
+
+
+def twins_so_far(spark, root: str) -> DataFrame:
+    """The newest verdict on each event: signal_id, stored_id, counted."""
+    return newest(spark, f"{root}/twins", ["signal_id"]).select("signal_id", "stored_id", "counted")
 
 
-def stream_coverage(stories: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Story coverage over a stream: logs ``stories`` and, for every category that a batch touches, its ``coverage`` anew.
+def stream_coverage(stories: DataFrame, root: str, checkpoint: str, once: bool = False, seen=lambda weeks: None) -> StreamingQuery:
+    """Story coverage over a stream: logs ``arrived``, ``told`` (first of their url and title) and ``verdicts`` (each story's leader).
 
-    A url or title told before, in whatever category, is a repeat, so categories that lose a story to an earlier copy are touched too.
-    ``stories``: story_id, category, topic, title, url, ts_us.
+    ``stories``: story_id, category, topic, title, url, ts_us.  Which stories are told first is streaming state; only titles whose
+    first story lost its url to a late one are looked up in the log.  Verdicts are made anew from the earliest change of a category
+    on, for as many weeks as they change (`story_state.elect`).
     """
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("story_id", "category", "topic", "title", "url", "ts_us")
-        _write(rows.withColumn("ord", F.struct("ts_us", "story_id")), f"{root}/stories", number)
-        log = _log(spark, f"{root}/stories", number, rows.schema)
-        new = log.where(F.col("batch") == number)
-        same = [log.join(new.select(c).distinct(), c, "left_semi").select("category") for c in ("url", "title")]
-        touched = cut(new.select("category").unionByName(same[0]).unionByName(same[1]).distinct())
-        told = dedup.first_told(log.drop("batch")).join(touched, "category", "left_semi")
-        found = dedup.story_coverage(told)
-        # A category whose stories all are repeats has a version too, without stories.
-        none = touched.join(found.select("category").distinct(), "category", "left_anti")
-        _write(found.select("category", "story_id", "coverage").unionByName(none, allowMissingColumns=True), f"{root}/coverage", number)
-
-    return _start(stories, each, checkpoint, once)
+        arrived = _write_buckets(batch, f"{root}/arrived", number, "title")
+        known = arrived.where("NOT beyond AND (told OR revoked)")
+        # Of several rows of a story in one batch, the last word is that it is not told.
+        told = known.groupBy("story_id").agg(F.min_by(F.struct(*story_state.NAMES[1:], "told"), "told").alias("r")).select("story_id", "r.*")
+        titles = arrived.where("beyond").select("title", "bucket").distinct()
+        buckets = _buckets(titles)
+        if buckets:
+            log = _log(spark, f"{root}/arrived", number, arrived.schema).where(F.col("bucket").isin(buckets))
+            told = told.unionByName(story_state.told_from_log(log, titles.select("title")).select(*told.columns))
+        told.withColumn("week", story_state.week(F.col("ts_us"))).write.mode("overwrite").partitionBy("week").parquet(f"{root}/told/batch={number}")
+        logs = {"told": f"{story_state.STORY}, told boolean, week long", "verdicts": "category string, story_id long, leader_id long, week long"}
+
+        def read(name: str, weeks: list[int], upto: int = number) -> DataFrame:
+            log = _log(spark, f"{root}/{name}", upto if name == "told" else number - 1, logs[name])
+            return story_state.newest(log.where(F.col("week").isin(weeks)))
+
+        new = spark.read.schema(logs["told"]).parquet(f"{root}/told/batch={number}")
+        before = read("told", [r[0] for r in new.select("week").distinct().collect()], number - 1).select("story_id", F.col("told").alias("was"))
+        changed = cut(new.join(before, "story_id", "left").where(F.col("told") != F.coalesce("was", F.lit(False))).select("category", "week", "ts_us", "story_id"))
+        if changed.isEmpty():
+            return
+        found = story_state.elect(read, changed, seen)
+        found.write.mode("overwrite").partitionBy("week").parquet(f"{root}/verdicts/batch={number}")
+
+    with _keyed_state(stories.sparkSession, once):
+        return _start(story_state.flagged(stories), each, checkpoint, once)
+
+
+def coverage_so_far(spark, root: str) -> DataFrame:
+    """story_id and coverage of all stories that are told."""
+    log = spark.read.option("basePath", f"{root}/verdicts").parquet(f"{root}/verdicts/batch=*")
+    last = story_state.newest(log).where("leader_id IS NOT NULL")
+    return last.groupBy(F.col("leader_id").alias("story_id")).agg(F.count("*").alias("coverage"))
 
 
 # ---------------------------------------------------------------- windows

@@ -39,7 +39,7 @@ def test_title_leaders_equal_a_sequential_scan(spark, monkeypatch, small_block,
         sets[i] = frozenset(s) or frozenset({"w0"})
     rows = spark.createDataFrame([(i, " ".join(sorted(s)) + " " + " ".join(sorted(s))) for i, s in sets.items()], "ord long, title string")
     elect = L.elect_leaders
-    monkeypatch.setattr(L, "elect_leaders", lambda a, b, c, n, split: elect(a, b, c, small_block, split, one_task=one_task))
+    monkeypatch.setattr(L, "elect_leaders", lambda a, b, c, n, *more: elect(a, b, c, small_block, *more, one_task=one_task))
     got = {r["ord"]: r["leader"] for r in dedup.near_dup_greedy(rows.repartition(parts)).collect()}
     assert got == _scan(sets, lambda a, b: _jac(a, b) >= 0.75)
 

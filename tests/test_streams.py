@@ -1,6 +1,7 @@
 """Streams give one result for one file, and for eight part files that come one by one, newest rows first."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,11 +27,19 @@ def parts(spark, tmp_path_factory):
     return root
 
 
+@pytest.fixture
+def few_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.mark.parametrize("name,streamed", [
     ("stream_ingest", "documents"), ("stream_coverage", "documents"), ("stream_events", "orders"), ("stream_process", "orders"),
     ("tumbling_counts", "events"), ("sliding_report", "events"),
 ])
-def test_batch_cuts_change_nothing(spark, parts, name, streamed):
+def test_batch_cuts_change_nothing(spark, parts, few_partitions, name, streamed):
     load()
     from signalloom.plans import stream_plans as plans
 
@@ -40,7 +49,7 @@ def test_batch_cuts_change_nothing(spark, parts, name, streamed):
     assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
 
 
-def test_streamed_events_equal_the_batch(spark, parts):
+def test_streamed_events_equal_the_batch(spark, parts, few_partitions):
     load()
     from signalloom.operators.twins import event_twins
     from signalloom.plans import stream_plans as plans
@@ -57,3 +66,102 @@ def test_a_repeated_batch_replaces_its_own_version(spark, tmp_path):
     for n, rows in ((0, 5), (1, 7), (1, 7)):
         jobs._write(spark.range(rows).withColumn("k", F.col("id") % 2), root, n)
     assert spark.read.parquet(root).count() == 12 and jobs.newest(spark, root, ["k"]).count() == 7
+
+
+def _feed(spark, folder, batches, schema):
+    """A stream of one file per batch, in the given order."""
+    for i, rows in enumerate(batches):
+        path = f"{folder}/{i:04d}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+        part = next(f for f in os.listdir(path) if f.endswith(".parquet"))
+        os.makedirs(f"{folder}/all", exist_ok=True)
+        os.rename(f"{path}/{part}", f"{folder}/all/{i:04d}.parquet")
+        os.utime(f"{folder}/all/{i:04d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/all")
+
+
+SIGNAL = "signal_id long, company_id long, type string, title string, url string, stage string, amount_usd_m double, occurred_us long"
+
+
+def _signals(n, seed):
+    rnd, day = random.Random(seed), 86_400_000_000
+    word = lambda: rnd.choice("red green blue solar parks grow fast raise round seed".split())
+    return [
+        (i, rnd.choice([1, 1, 2, None]), rnd.choice(["funding", "launch", "directory"]), f"{word()} {word()} {word()}", f"u{rnd.randrange(9)}",
+         rnd.choice(["Seed", "A", None]), rnd.choice([1.0, 1.1, 5.0, None]), rnd.choice([i * day, i * day, rnd.randrange(400) * day, None]))
+        for i in range(n)
+    ]
+
+
+def test_events_in_order_never_read_the_log(spark, tmp_path, monkeypatch, few_partitions):
+    """50 batches: every batch reads its own rows alone, the state keeps a bounded memory per key, and the result is the batch's."""
+    from signalloom.operators.twins import event_twins
+    from signalloom.streaming import jobs
+
+    rows = _signals(400, 3)
+    monkeypatch.setattr(jobs, "_log", None)
+    stream = _feed(spark, str(tmp_path / "in"), [rows[i:i + 8] for i in range(0, 400, 8)], SIGNAL)
+    query = jobs.stream_events(stream, str(tmp_path / "out"), str(tmp_path / "state"), once=True, history=8)
+    query.awaitTermination()
+    steps = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(steps) == 50 and {p["numInputRows"] for p in steps} == {8}
+    keys = len({r[1:3] for r in rows})
+    assert steps[-1]["stateOperators"][0]["numRowsTotal"] <= keys * (8 + 2)
+    got = {tuple(r) for r in jobs.twins_so_far(spark, str(tmp_path / "out")).collect()}
+    assert got == {tuple(r) for r in event_twins(spark.createDataFrame(rows, SIGNAL)).select("signal_id", "stored_id", "counted").collect()}
+
+
+@pytest.mark.parametrize("history", [6, 64])
+def test_late_events_are_folded_in(spark, tmp_path, few_partitions, history):
+    from signalloom.operators.twins import event_twins
+    from signalloom.streaming import jobs
+
+    rows = _signals(120, 4)
+    mixed = sorted(rows, key=lambda r: r[0] + random.Random(r[0]).choice([0, 0, 15, 70]))
+    stream = _feed(spark, str(tmp_path / "in"), [mixed[i:i + 20] for i in range(0, 120, 20)], SIGNAL)
+    jobs.stream_events(stream, str(tmp_path / "out"), str(tmp_path / "state"), once=True, history=history).awaitTermination()
+    got = {tuple(r) for r in jobs.twins_so_far(spark, str(tmp_path / "out")).collect()}
+    assert got == {tuple(r) for r in event_twins(spark.createDataFrame(rows, SIGNAL)).select("signal_id", "stored_id", "counted").collect()}
+
+
+def _stories(n, seed, weeks):
+    rnd, day = random.Random(seed), 86_400_000_000
+    word = lambda: rnd.choice([f"word{k:02d}" for k in range(30)])
+    out = []
+    for i in range(n):
+        title = rnd.choice(out)[3] if out and rnd.random() < 0.15 else " ".join(word() for _ in range(rnd.choice([1, 3, 5, 8])))
+        ts = i * 7 * weeks * day // n
+        out.append((i, rnd.choice(["m", "m", "x", None]), rnd.choice(["a", "b", None]), title, f"u{rnd.randrange(2 * n)}" if rnd.random() < 0.8 else "same", ts if rnd.random() < 0.97 else None))
+    return out
+
+
+def _coverage_of(spark, rows):
+    from signalloom.operators.dedup import story_coverage
+    from signalloom.streaming.story_state import STORY
+
+    batch = spark.createDataFrame(rows, STORY).withColumn("ord", F.struct("ts_us", "story_id"))
+    return {(r["story_id"], r["coverage"]) for r in story_coverage(batch).collect()}
+
+
+def test_stories_in_order_read_two_weeks(spark, tmp_path, few_partitions):
+    from signalloom.streaming import jobs
+    from signalloom.streaming.story_state import STORY
+
+    # An undated story counts as the earliest, so it would be late here.
+    rows, weeks = [r for r in _stories(130, 5, 13) if r[5] is not None][:120], []
+    stream = _feed(spark, str(tmp_path / "in"), [rows[i:i + 20] for i in range(0, 120, 20)], STORY)
+    jobs.stream_coverage(stream, str(tmp_path / "out"), str(tmp_path / "state"), once=True, seen=weeks.append).awaitTermination()
+    assert {tuple(r) for r in jobs.coverage_so_far(spark, str(tmp_path / "out")).collect()} == _coverage_of(spark, rows)
+    # A batch covers two or three weeks and reads these and the ones beside them.
+    assert len(weeks) >= 6 and max(map(len, weeks)) <= 5
+
+
+def test_late_stories_change_what_they_concern(spark, tmp_path, few_partitions):
+    from signalloom.streaming import jobs
+    from signalloom.streaming.story_state import STORY
+
+    rows = _stories(90, 6, 5)
+    mixed = sorted(rows, key=lambda r: r[0] + random.Random(r[0]).choice([0, 0, 25, 60]))
+    stream = _feed(spark, str(tmp_path / "in"), [mixed[i:i + 18] for i in range(0, 90, 18)], STORY)
+    jobs.stream_coverage(stream, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+    assert {tuple(r) for r in jobs.coverage_so_far(spark, str(tmp_path / "out")).collect()} == _coverage_of(spark, rows)
