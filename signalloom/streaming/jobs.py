@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +20,8 @@ from ..functions import fixed_values as fv
 from ..operators import dedup, extract, gates, intel
 from ..operators.state import cut
 from ..operators.twins import fold_twins
-from . import story_state, twin_state
+from ..sources.store import Store
+from . import story_state, twin_state, write_path
 
 #: Folders of a log by hash of its key, so that a look-up of some keys reads some folders.
 BUCKETS = 64
@@ -99,9 +100,11 @@ def ingested(spark, root: str, as_of) -> DataFrame:
     return dedup.ingest(spark.read.option("basePath", root).parquet(f"{root}/batch=*").drop("batch"), as_of)
 
 
-def stream_process(items: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def stream_process(items: DataFrame, root: str, checkpoint: str, once: bool = False, as_of: Column | None = None) -> StreamingQuery:
     """Judge, gate and extract each micro-batch into logs: ``mentions``, ``intel``, ``voice`` and ``touched`` (names to rescore).
 
+    With ``as_of`` the companies that a batch mentions are also derived and scored anew, in the tables of `state_store`, which become
+    visible together (`write_path.apply_batch`); items then need ``url`` and ``published_us``.
     Limit the batch at the source with ``maxFilesPerTrigger``.
     """
     def each(batch: DataFrame, number: int) -> None:
@@ -114,10 +117,17 @@ def stream_process(items: DataFrame, root: str, checkpoint: str, once: bool = Fa
         _write(passed.where("route = 'voice'").select("item_id", "title", "summary"), f"{root}/voice", number)
         done = batch.sparkSession.read.parquet(f"{root}/mentions/batch={number}")
         _write(done.select("name").distinct(), f"{root}/touched", number)
+        if as_of is not None:
+            write_path.apply_batch(state_store(batch.sparkSession, root), passed.where("route = 'leads'"), number, as_of)
 
     return _start(items, each, checkpoint, once)
 
 
+def state_store(spark, root: str) -> Store:
+    """Mentions, companies, signals and scores of the stream, as the newest manifest names them."""
+    return Store(spark, f"{root}/state", "company_id")
+
+
 # ---------------------------------------------------------------- events
 def stream_events(signals: DataFrame, root: str, checkpoint: str, once: bool = False, history: int = twin_state.HISTORY) -> StreamingQuery:
     """Twin detection over a stream: logs ``arrived`` events and, for every event that a batch judges, its ``twins`` row.

@@ -165,3 +165,62 @@ def test_late_stories_change_what_they_concern(spark, tmp_path, few_partitions):
     stream = _feed(spark, str(tmp_path / "in"), [mixed[i:i + 18] for i in range(0, 90, 18)], STORY)
     jobs.stream_coverage(stream, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
     assert {tuple(r) for r in jobs.coverage_so_far(spark, str(tmp_path / "out")).collect()} == _coverage_of(spark, rows)
+
+
+ITEM = "item_id long, source_id string, title string, summary string, url string, published_us long, kind string, category string, assume_region boolean"
+
+
+def _headlines(n, seed):
+    rnd, day = random.Random(seed), 86_400_000_000
+    names = ["Acme Robots", "Blue Gear", "Zed Works", "Quorvex"]
+    out = []
+    for i in range(n):
+        name = rnd.choice(names)
+        title = rnd.choice([
+            f"{name} raises $ {rnd.choice([5, 6, 40])} Mn in Series {rnd.choice('AB')} round", f"{name} expands to Dubai and Europe", f"{name} raises $ 5 Mn seed round led by Peak Fund"])
+        out.append((i, "s", title, "The Indian startup sells software abroad.", f"https://n.example.com/{rnd.randrange(2 * n)}", (11_000 + i) * day, "rss", "leads", True))
+    return out
+
+
+def _state(tables):
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    return [
+        rows(tables["companies"], "company_id", "name", "aliases", "markets", "confidence"), rows(tables["signals"], "company_id", "signal_id", "corroborations", "extra_urls"),
+        rows(tables["scores"], "company_id", "score", "breakdown"),
+    ]
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch, few_partitions):
+    """A job dies between two tables of its second batch: readers see the first one; its retry leaves what a recompute gives."""
+    from pyspark.errors import StreamingQueryException
+
+    from signalloom.sources.store import Store
+    from signalloom.streaming import jobs, write_path
+
+    items, as_of, out = _headlines(45, 7), F.lit("2001-01-01").cast("timestamp"), str(tmp_path / "out")
+    stream = _feed(spark, str(tmp_path / "in"), [items[i:i + 15] for i in range(0, 45, 15)], ITEM)
+    gated = spark.createDataFrame(items, ITEM)
+    from signalloom.operators import gates, intel
+
+    passed = gates.prefilter(intel.classify_intel(gated, keep_all=True).withColumn("intel_pass", F.col("verdict").isNotNull())).where("passed AND route = 'leads'")
+    assert passed.count() > 30
+    run = lambda: jobs.stream_process(stream, out, str(tmp_path / "query"), once=True, as_of=as_of).awaitTermination()
+    want = lambda n: write_path.recomputed(passed.where(F.col("item_id") < n), as_of)
+    write = Store.write
+
+    def dies(self, table, df, version):
+        if (table, version) == ("signals", 1):
+            raise OSError("executor lost")
+        return write(self, table, df, version)
+
+    monkeypatch.setattr(Store, "write", dies)
+    with pytest.raises(StreamingQueryException):
+        run()
+    store = jobs.state_store(spark, out)
+    assert store.versions() == dict.fromkeys(write_path.TABLES, 0)
+    full = want(45)
+    seen = lambda: {t: store.read(t, full[t].schema) for t in write_path.TABLES}
+    assert _state(seen()) == _state(want(15))
+    monkeypatch.setattr(Store, "write", write)
+    run()
+    assert store.versions() == dict.fromkeys(write_path.TABLES, 2) and _state(seen()) == _state(full)
