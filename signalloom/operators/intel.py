@@ -76,6 +76,10 @@ def classify_intel(
 
 
 def rebuild_intel(items: DataFrame, status_log: DataFrame, key: str, **rules) -> DataFrame:
-    """Judge every stored item again after a rules change; triage status survives by key."""
+    """Judge every stored item again after a rules change; the newest triage status by key survives.
+
+    ``status_log``: key, seq, status; of several entries of a key the one with the highest ``seq`` counts.
+    """
     judged = classify_intel(items, **rules)
-    return judged.join(status_log.select(key, "status").dropDuplicates([key]), key, "left").withColumn("status", F.coalesce("status", F.lit("new")))
+    newest = status_log.groupBy(key).agg(F.max_by("status", "seq").alias("status"))
+    return judged.join(newest, key, "left").withColumn("status", F.coalesce("status", F.lit("new")))

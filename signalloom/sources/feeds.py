@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_text, strip_markup
+from ..operators.state import once
 
 _ITEM = "struct<link:string,guid:string,title:string,description:string,encoded:string,pubDate:string,date:string,source:string,category:array<string>>"
-RSS = f"channel struct<item:array<{_ITEM}>>"
-RDF = f"item array<{_ITEM}>"
+#: Holds the body when it cannot be parsed as a whole.
+CORRUPT = "_corrupt_record"
+RSS = f"channel struct<item:array<{_ITEM}>>, {CORRUPT} string"
+RDF = f"item array<{_ITEM}>, {CORRUPT} string"
 ATOM = (
     "entry array<struct<id:string,title:string,content:string,summary:string,updated:string,published:string,"
     "author:struct<name:string>,link:array<struct<_href:string,_rel:string>>>>"
+    f", {CORRUPT} string"
 )
 SUMMARY_CHARS = 1500
 
@@ -41,14 +45,26 @@ def _some(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols])
 
 
+def _unreadable(parsed: Column) -> Column:
+    """Why a parsed body gives nothing, or null: it is empty, or not well-formed as a whole."""
+    return F.when(parsed.isNull(), "empty").when(parsed[CORRUPT].isNotNull(), "malformed")
+
+
 def land_feeds(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, quarantine) out of source_id, fetched_at, body in RSS, Atom or RDF.
 
-    Each body is parsed once with the schema of its own dialect.
+    Each body is parsed with the schema of its own dialect.  A body of no known dialect, and one that is not well-formed to its end,
+    is in the quarantine with its ``reason`` and gives no items.
     """
-    kind = F.when(F.col("body").rlike(r"(?i)<rss[\s>]"), "rss").when(F.col("body").rlike(r"(?i)<feed[\s>]"), "atom").when(
-        F.col("body").rlike(r"(?i)<rdf:RDF[\s>]"), "rdf")
+    body = F.coalesce("body", F.lit(""))
+    kind = F.when(body.rlike(r"(?i)<rss[\s>]"), "rss").when(body.rlike(r"(?i)<feed[\s>]"), "atom").when(body.rlike(r"(?i)<rdf:RDF[\s>]"), "rdf")
     b = bodies.withColumn("dialect", kind)
+    parsed = {d: once(b.where(F.col("dialect") == d), x=_xml(F.col("body"), schema)) for d, schema in (("rss", RSS), ("atom", ATOM), ("rdf", RDF))}
+    bad = b.where("dialect IS NULL").select("source_id", "fetched_at", "body", F.lit("unknown dialect").alias("reason"))
+    for part in parsed.values():
+        broken = part.withColumn("reason", _unreadable(F.col("x"))).where("reason IS NOT NULL")
+        bad = bad.unionByName(broken.select("source_id", "fetched_at", "body", "reason"))
+    good = {d: part.where(_unreadable(F.col("x")).isNull()) for d, part in parsed.items()}
 
     def rss_like(part: DataFrame, items: Column) -> DataFrame:
         e = part.select("source_id", "fetched_at", F.explode(items).alias("e"))
@@ -58,9 +74,9 @@ def land_feeds(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
             feed_time(_some(F.col("e.pubDate"), F.col("e.date"))).alias("published_at"), F.col("e.source").alias("publisher"),
             F.slice(F.coalesce("e.category", F.array().cast("array<string>")), 1, 8).alias("categories"))
 
-    rss = rss_like(b.where("dialect = 'rss'"), _xml(F.col("body"), RSS)["channel"]["item"])
-    rdf = rss_like(b.where("dialect = 'rdf'"), _xml(F.col("body"), RDF)["item"])
-    entries = b.where("dialect = 'atom'").select("source_id", "fetched_at", F.explode(_xml(F.col("body"), ATOM)["entry"]).alias("e"))
+    rss = rss_like(good["rss"], F.col("x.channel.item"))
+    rdf = rss_like(good["rdf"], F.col("x.item"))
+    entries = good["atom"].select("source_id", "fetched_at", F.explode("x.entry").alias("e"))
     main = F.filter("e.link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
     atom = entries.select(
         "source_id", "fetched_at", F.coalesce(F.get(main, 0)["_href"], F.get("e.link", 0)["_href"], F.col("e.id")).alias("url"),
@@ -68,7 +84,7 @@ def land_feeds(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
         clip_text(strip_markup(F.coalesce(_some(F.col("e.content"), F.col("e.summary")), F.lit(""))), SUMMARY_CHARS).alias("summary"),
         feed_time(_some(F.col("e.updated"), F.col("e.published"))).alias("published_at"), F.col("e.author.name").alias("publisher"),
         F.array().cast("array<string>").alias("categories"))
-    return rss.unionByName(atom).unionByName(rdf), b.where("dialect IS NULL").select("source_id", "fetched_at", "body")
+    return rss.unionByName(atom).unionByName(rdf), bad
 
 
 def land_search_news(items: DataFrame) -> DataFrame:
@@ -84,9 +100,22 @@ FORUM_DROP = r"(?i)^\[(for hire|hiring|meta|mod)\]"
 FORUM_POST = "struct<kind:string,data:struct<permalink:string,title:string,selftext:string,body:string,link_title:string,created_utc:double,subreddit:string,score:int,num_comments:int>>"
 
 
+_HIT = "struct<objectID:string,title:string,url:string,story_text:string,created_at:string,points:int>"
+#: What the bodies of the JSON jobs hold.
+JSON_BODIES = {"forum": f"data struct<children:array<{FORUM_POST}>>", "hits": f"hits array<{_HIT}>"}
+
+
+def unreadable_json(bodies: DataFrame, kind: str) -> DataFrame:
+    """The quarantine of `land_forum_posts` (``forum``) and `land_hits_json` (``hits``): bodies that are empty, malformed or of another shape."""
+    parsed = once(bodies, x=F.from_json("body", f"{JSON_BODIES[kind]}, {CORRUPT} string"))
+    inside = F.col("x.data.children") if kind == "forum" else F.col("x.hits")
+    reason = F.coalesce(_unreadable(F.col("x")), F.when(inside.isNull(), "another shape"))
+    return parsed.withColumn("reason", reason).where("reason IS NOT NULL").select("source_id", "body", "reason")
+
+
 def land_forum_posts(bodies: DataFrame, host: str = "https://www.reddit.com") -> DataFrame:
     """Forum listing JSON to posts and comments: hiring and meta titles dropped, comments keep their thread title."""
-    kids = F.from_json("body", f"struct<data:struct<children:array<{FORUM_POST}>>>")["data"]["children"]
+    kids = F.from_json("body", JSON_BODIES["forum"])["data"]["children"]
     d = bodies.select("source_id", F.explode(kids).alias("k")).select("source_id", "k.data.*")
     comment = F.col("body").isNotNull() & F.col("link_title").isNotNull()
     d = d.withColumn("comment", comment).where(F.col("comment") | (F.col("title").isNotNull() & ~F.coalesce(F.col("title").rlike(FORUM_DROP), F.lit(False))))
@@ -106,8 +135,7 @@ def forum_feed_titles(items: DataFrame) -> DataFrame:
 
 def land_hits_json(bodies: DataFrame, as_of: Column, days: int = 30, item_url: str = "https://news.ycombinator.com/item?id=") -> DataFrame:
     """Search-API hits to items: fallback url, title required, not older than ``days``."""
-    hit = "struct<objectID:string,title:string,url:string,story_text:string,created_at:string,points:int>"
-    h = bodies.select("source_id", F.explode(F.from_json("body", f"struct<hits:array<{hit}>>")["hits"]).alias("h")).select("source_id", "h.*")
+    h = bodies.select("source_id", F.explode(F.from_json("body", JSON_BODIES["hits"])["hits"]).alias("h")).select("source_id", "h.*")
     h = h.withColumn("published_at", F.try_to_timestamp("created_at"))
     fresh = F.col("published_at").isNull() | (F.col("published_at") > as_of - F.make_dt_interval(F.lit(days)))
     return h.where(_some(F.col("title")).isNotNull() & fresh).select(

@@ -139,3 +139,36 @@ def test_plans_stay_in_the_jvm(spark, name):
 
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_unreadable_bodies_are_kept(spark):
+    """Every body gives items or is in the quarantine with a reason."""
+    from signalloom.sources import feeds
+
+    item = "<item><title>T</title><link>https://x.example.com/1</link></item>"
+    rows = [
+        ("ok", f"<rss><channel>{item}</channel></rss>"), ("none", "<rss><channel></channel></rss>"), ("cut", f"<rss><channel>{item}<item><title>Half"),
+        ("atom", "<feed><entry><id>https://x.example.com/2</id><title>A</title></entry></feed>"), ("cut atom", "<feed><entry><id>https://x"),
+        ("rdf", f"<rdf:RDF>{item}</rdf:RDF>"), ("cut rdf", "<rdf:RDF><item><title>"), ("page", "<html></html>"), ("blank", ""), ("null", None),
+    ]
+    bodies = spark.createDataFrame(rows, "source_id string, body string").withColumn("fetched_at", F.current_timestamp())
+    items, bad = feeds.land_feeds(bodies)
+    assert {r["source_id"] for r in items.collect()} == {"ok", "atom", "rdf"}
+    assert {r["source_id"]: r["reason"] for r in bad.collect()} == {
+        "cut": "malformed", "cut atom": "malformed", "cut rdf": "malformed", "page": "unknown dialect", "blank": "unknown dialect", "null": "unknown dialect"}
+    json = spark.createDataFrame(
+        [("ok", '{"hits": [{"title": "a", "objectID": "1"}]}'), ("none", '{"hits": []}'), ("cut", '{"hits": [{"title": "a"'), ("other", '{"x": 1}'), ("null", None)], "source_id string, body string")
+    assert {r["source_id"]: r["reason"] for r in feeds.unreadable_json(json, "hits").collect()} == {"cut": "malformed", "other": "another shape", "null": "empty"}
+    assert feeds.land_hits_json(json, F.current_timestamp()).count() == 1
+    assert {r["source_id"] for r in feeds.unreadable_json(json, "forum").collect()} == {r[0] for r in [("ok",), ("none",), ("cut",), ("other",), ("null",)]}
+
+
+def test_the_newest_status_survives_a_rebuild(spark):
+    from signalloom.functions.packs import Topic, TopicPack
+    from signalloom.operators import intel
+
+    items = spark.createDataFrame([(1, "the law", "", "s"), (2, "the law", "", "s")], "id long, title string, summary string, source_id string")
+    log = spark.createDataFrame([(1, 5, "done"), (1, 2, "seen"), (1, 9, "shared")], "id long, seq long, status string")
+    pack = TopicPack((Topic("law", "rules", 1, "law"),))
+    got = intel.rebuild_intel(items, log.repartition(3), "id", topics=pack, region="", noise=["zzzz"], competitors=["Zzzz"])
+    assert {r["id"]: r["status"] for r in got.collect()} == {1: "shared", 2: "new"}
