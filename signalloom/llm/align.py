@@ -21,7 +21,7 @@ from .common import keep, pieces
 from .wavelet import stretches
 
 #: Bytes of text that are encoded and joined at once; a longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 SHIFT = 1 << 32
 COLUMNS = "n_a long, n_b long, n_groups long, n_links long"
 
@@ -37,7 +37,7 @@ class Encoder:
     stretches is emptied when it has ``limit`` of them, which changes nothing but time.
     """
 
-    def __init__(self, cut: Callable, encode: Callable, tokens: list[bytes], limit: int = 400_000):
+    def __init__(self, cut: Callable, encode: Callable, tokens: list[bytes], limit: int = 200_000):
         self.cut, self.encode, self.limit, self.memory = cut, encode, limit, {}
         self.tokens = pa.array(tokens, pa.large_binary())
         self.sizes = pa.array([len(t) for t in tokens], pa.int64())
