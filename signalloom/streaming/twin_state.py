@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,18 +19,10 @@ HISTORY = 64
 EVENT = "signal_id long, url string, stage string, amount_usd_m double, occurred_us long, tokens array<string>"
 FIELDS = [f.split()[0] for f in EVENT.split(", ")]
 KEYS = ["company_id", "type"]
+_OUT = Row("company_id", "type", *FIELDS, "stored_id", "counted", "beyond")
 OUTPUT = f"company_id long, type string, {EVENT}, stored_id long, counted boolean, beyond boolean"
 
 
-def _clean(row: dict) -> dict:
-    """Plain values of a row: missing ones are None, numbers are Python's."""
-    out = {k: None if v is None or (isinstance(v, float) and v != v) else v for k, v in row.items()}
-    out["signal_id"], out["tokens"] = int(out["signal_id"]), [str(t) for t in row["tokens"]]
-    out["occurred_us"] = None if out["occurred_us"] is None else int(out["occurred_us"])
-    out["amount_usd_m"] = None if out["amount_usd_m"] is None else float(out["amount_usd_m"])
-    return out
-
-
 def fold(kind: str, memory: dict, recent: list[dict], new: list[dict], history: int) -> tuple[list[dict], dict, list[dict]]:
     """(verdicts from the first new event on, memory before the events that stay open, these events).
 
@@ -70,33 +61,31 @@ class TwinState(StatefulProcessor):
             True: (handle.getValueState("directory_memory", "json string"), handle.getListState("directory_recent", EVENT)),
         }
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         company, kind = json.loads(key[0])
         company = None if company is None else int(company)
         memory_state, recent_state = self.memories[kind == "directory"]
-        new = [_clean(r) for part in rows for r in part[FIELDS].to_dict("records")]
-        floor, last, beyond = self.place.get() if self.place.exists() else (None, None, False)
-        recent = [_clean(dict(zip(FIELDS, r))) for r in recent_state.get()] if last is not None and not beyond else []
-        first = min(e["signal_id"] for e in new)
+        new = [{f: r[f] for f in FIELDS} for r in rows]
+        floor, last, beyond = self.place.get() or (None, None, False)
+        recent = [dict(zip(FIELDS, r)) for r in recent_state.get()] if last is not None and not beyond else []
         forgotten = last is not None and not recent
-        if beyond or forgotten or floor is not None and first <= floor:
+        if beyond or forgotten or floor is not None and min(e["signal_id"] for e in new) <= floor:
             if not beyond:
                 memory_state.clear()
                 recent_state.clear()
                 self.place.update((floor, last, True))
-            out = [{**e, "stored_id": None, "counted": None} for e in new]
-        else:
-            memory = json.loads(memory_state.get()[0]) if memory_state.exists() else {}
-            out, memory, opened = fold(kind, memory, recent, new, self.history)
-            closed = [e["signal_id"] for e in recent + new if e["signal_id"] < opened[0]["signal_id"]]
+            for e in new:
+                yield _OUT(company, kind, *(e[f] for f in FIELDS), None, None, True)
+            return
+        memory = json.loads((memory_state.get() or ("{}",))[0]) if floor is not None else {}
+        out, memory, opened = fold(kind, memory, recent, new, self.history)
+        closed = [e["signal_id"] for e in recent + new if e["signal_id"] < opened[0]["signal_id"]]
+        if closed:
             memory_state.update((json.dumps(memory),))
-            recent_state.put([tuple(e[f] for f in FIELDS) for e in opened])
-            self.place.update((max(closed, default=floor), max(e["signal_id"] for e in recent + new), False))
-        frame = pd.DataFrame(out, columns=[*FIELDS, "stored_id", "counted"]).assign(company_id=company, type=kind, beyond="stored_id" not in out[0] or out[0]["stored_id"] is None)
-        for c in ("company_id", "signal_id", "occurred_us", "stored_id"):
-            frame[c] = frame[c].astype("Int64")
-        frame["counted"] = frame["counted"].astype("boolean")
-        yield frame[[f.split()[0] for f in OUTPUT.split(", ")]]
+        recent_state.put([tuple(e[f] for f in FIELDS) for e in opened])
+        self.place.update((max(closed, default=floor), max(e["signal_id"] for e in recent + new), False))
+        for e in out:
+            yield _OUT(company, kind, *(e[f] for f in FIELDS), e["stored_id"], e["counted"], False)
 
     def close(self) -> None:
         pass
@@ -110,4 +99,4 @@ def judged(signals: DataFrame, history: int = HISTORY, ttl_days: int = fv.TWIN_D
     )
     # Keys of state must not be null: a null company is told apart in a JSON array.
     key = F.to_json(F.array(*[F.col(k).cast("string") for k in KEYS]), {"ignoreNullFields": "false"})
-    return rows.withColumn("key", key).groupBy("key").transformWithStateInPandas(TwinState(history, ttl_days), OUTPUT, "Append", "ProcessingTime")
+    return rows.withColumn("key", key).groupBy("key").transformWithState(TwinState(history, ttl_days), OUTPUT, "Append", "ProcessingTime")
