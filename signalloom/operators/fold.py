@@ -80,18 +80,29 @@ def scan_in_order(
     return done.where("last_key IS NULL").select(*fields)
 
 
+def dense_positions(rows: DataFrame, keys: list[str], seq: str, name: str) -> DataFrame:
+    """Rows with a number that grows with (keys, seq) and has no gaps within a task, however far apart ``seq`` values are.
+
+    Rows are range-partitioned, so a hot key spreads over tasks, sorted, and numbered where they lie: (task, place).
+    """
+    placed = rows.repartitionByRange(*keys, seq).sortWithinPartitions(*keys, seq)
+    return cut(placed.withColumn(name, F.monotonically_increasing_id()))
+
+
 def clamped_sum(rows: DataFrame, keys: list[str], seq: str, delta: str, low: float, high: float,
                 levels: int = 5, width: int = FOLD_WIDTH) -> DataFrame:
     """Ordered running sum clamped to [low, high] after every step; final value per key.
 
     A clamped addition is x -> min(hi, max(lo, x + d)).  Two of them in a row are
-    again of that form, so the fold is associative: blocks of ``width`` consecutive
-    sequence numbers combine on their own and blocks of blocks follow.  No task ever
-    holds more than ``width`` entries of a key.
+    again of that form, so the fold is associative: blocks of ``width`` neighbouring
+    rows combine on their own and blocks of blocks follow.  Blocks are cut by places
+    in sorted tasks, not by sequence numbers, so sparse ones make no difference: a list
+    holds ``width`` entries at most, the last one an entry per ``width ** (levels - 1)``
+    places of a key's tasks.
     """
-    parts = rows.select(
-        *keys, F.col(seq).cast("bigint").alias("_pos"), F.col(delta).cast("double").alias("d"),
-        F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"),
+    parts = rows.select(*keys, F.col(seq).cast("bigint").alias("_seq"), F.col(delta).cast("double").alias("d"))
+    parts = dense_positions(parts, keys, "_seq", "_pos").select(
+        *keys, "_pos", "d", F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"),
     )
 
     def then(f: Column, g: Column) -> Column:

@@ -250,3 +250,26 @@ def test_assignment_prefers_the_first_leader(spark):
     keys = items.select("ord", F.explode("tokens").alias("key"))
     got = {r["ord"]: r["leader"] for r in assign_leaders(items, keys, lambda a, b: F.arrays_overlap(a("tokens"), b("tokens"))).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("width", [3, 1024])
+def test_clamped_sum_of_sparse_numbers(spark, width):
+    """Sequence numbers far apart, negative ones and a hot key give the fold in order; blocks stay full."""
+    from signalloom.operators.fold import dense_positions
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot"] * 5 + ["a", "b"]), s, rnd.choice([-0.08, -0.04, 0.04, 0.08])) for s in rnd.sample(range(-10**18, 10**18), 900)]
+    df = spark.createDataFrame(rows, "k string, s long, d double").repartition(5)
+    want = {}
+    for k, _, d in sorted(rows, key=lambda r: r[1]):
+        want[k] = min(0.25, max(-0.25, want.get(k, 0.0) + d))
+    got = {r["k"]: r["value"] for r in clamped_sum(df, ["k"], "s", "d", -0.25, 0.25, width=width).collect()}
+    assert got == pytest.approx(want)
+    placed = dense_positions(df, ["k"], "s", "pos").collect()
+    blocks = {}
+    for r in placed:
+        blocks.setdefault(r["pos"] // 100, []).append(r)
+    # Only the last block of each task is not full.
+    tasks = {r["pos"] >> 33 for r in placed}
+    assert max(map(len, blocks.values())) <= 100 and len(blocks) <= len(rows) / 100 + 2 * len(tasks)
+    assert [r["s"] for r in sorted(placed, key=lambda r: r["pos"]) if r["k"] == "hot"] == sorted(r[1] for r in rows if r[0] == "hot")
