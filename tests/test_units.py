@@ -172,3 +172,34 @@ def test_the_newest_status_survives_a_rebuild(spark):
     pack = TopicPack((Topic("law", "rules", 1, "law"),))
     got = intel.rebuild_intel(items, log.repartition(3), "id", topics=pack, region="", noise=["zzzz"], competitors=["Zzzz"])
     assert {r["id"]: r["status"] for r in got.collect()} == {1: "shared", 2: "new"}
+
+
+def test_page_text_takes_the_article_without_chrome(spark):
+    from signalloom.operators import sites
+
+    long = "Real words of the story. " * 30
+    rows = [
+        (1, f"<html><nav>Menu</nav><article><p>{long}</p><p>End.</p></article><footer>Foot</footer></html>"),
+        (2, "<html><head><title>T</title><script>var x</script></head><body><p>Short</p><div>Other</div></body></html>"), (3, None), (4, ""),
+    ]
+    got = {r["page_id"]: r["t"] for r in spark.createDataFrame(rows, "page_id long, html string").select("page_id", sites.page_text(F.col("html")).alias("t")).collect()}
+    assert long.strip() in got[1] and "End." in got[1] and "Menu" not in got[1] and "Foot" not in got[1]
+    assert "Short" in got[2] and "Other" in got[2] and "var x" not in got[2] and not got[3] and not got[4]
+
+
+def test_corroborate_merges_repeats_into_the_stored_event(spark):
+    from signalloom.operators import twins
+
+    rows = [
+        (1, 7, "funding", "a", "u1", None, None, 0.5, 10, ["x"], ["P"]), (2, 7, "funding", "b", "u2", "Seed", 3.0, 0.9, 20, ["y", "x"], []),
+        (3, 7, "funding", "c", "u3", "A", 4.0, 0.1, 30, None, ["Q", "P"]), (4, 8, "launch", "d", "u4", None, None, None, 40, [], []),
+        (5, 7, "funding", "e", "u1", "B", 9.0, 1.0, 50, ["z"], ["R"]),
+    ]
+    signals = spark.createDataFrame(
+        rows, "signal_id long, company_id long, type string, title string, url string, stage string, amount_usd_m double, confidence double, occurred_us long, tags array<string>, investors array<string>")
+    verdicts = spark.createDataFrame([(1, 1, True), (2, 1, True), (3, 1, True), (4, 4, True), (5, 1, False)], "signal_id long, stored_id long, counted boolean")
+    got = {r["stored_id"]: r for r in twins.corroborate(signals.repartition(3), verdicts).collect()}
+    one = got[1]
+    assert (one["title"], one["corroborations"], one["stage"], one["amount_usd_m"], one["confidence"], one["occurred_us"]) == ("a", 3, "Seed", 3.0, 0.9, 10)
+    assert (one["tags"], one["investors"], one["extra_urls"]) == (["x", "y"], ["P", "Q"], ["u2", "u3"])
+    assert (got[4]["corroborations"], got[4]["extra_urls"]) == (1, None) and set(got) == {1, 4}
