@@ -233,6 +233,17 @@ INVESTOR_BEFORE = r"investor|angel|participation from|participated|backed by|led
 INVESTOR_NEAR = r"investors? includ(?:e|ing)|participation from"
 FOUNDED_BY = r"(?:[Ff]ounded|[Cc]o-founded|[Ss]tarted|[Ss]et up|[Ee]stablished)\s+(?:in\s+\d{4}\s+)?by\s+"
 FOUNDER_LEAD_IN = r"former\s+[\w ]+?\s+executives?|IIT[\w ]*?alumni|serial entrepreneurs?"
+PERSON_GUARDS = [
+    {"shapes": ("name first", "role first"), "side": "after", "reach": 70, "pattern": r"^[^.]{0,60}[“\"]"},
+    {"shapes": ("name first", "role first"), "side": "before", "reach": 90, "pattern": rf"(?i)(?:{INVESTOR_BEFORE})[^A-Za-z0-9_]*\z", "in_speech": False},
+    {"shapes": ("name first", "role first"), "side": "before", "reach": 160, "pattern": rf"(?i)\b(?:{INVESTOR_NEAR})\b", "in_speech": False},
+    {"shapes": ("name first", "role first"), "side": "after", "reach": 60, "pattern": r"^\s*[,@|]\s*([A-Z][\w&.'-]*(?:\s+[A-Z][\w&.'-]*){0,4})",
+     "foreign": "other start", "like": PERSON_ORGS + "|^[A-Z][a-z]+[A-Z]"},
+    {"shapes": ("name first", "role first"), "side": "after", "reach": 60, "pattern": r"^\s*(?:of|at)\s+([A-Z0-9][\w&.'-]*(?:\s+[A-Z0-9][\w&.'-]*){0,3})",
+     "foreign": "unrelated", "spared": "(?i)^(?:the|our|its|this)"},
+    {"shapes": ("role first",), "side": "before", "reach": 40, "pattern": r"((?!(?:The|Its|And|Said|Says|While|According)\s*\z)[A-Z][\w&.'-]*)\s*\z",
+     "foreign": "not in name"},
+]
 TEAM_PATTERNS = [
     r"\b(?:team|workforce|headcount|staff) of (?:about |around |over |more than |nearly |close to |~)?(\d[\d,]*)\+?",
     r"\b(\d[\d,]*)\+?[- ](?:member|people|person|strong)\b",

@@ -193,7 +193,13 @@ def _bios(t):
     return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), text.alias("text"), F.col("p_brand").alias("company"))
 
 
-@query("people_mentions")
+@query("people_mentions", """
+WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, l_returnflag AS f, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(p_name, ' ')], ' ') AS n
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT doc_id, n AS name, 'Co-founder' AS role, 'It was founded by ' || n || ' and Asha Rao.' AS evidence, 1 AS position FROM b WHERE f = 'A'
+UNION ALL SELECT doc_id, 'Asha Rao', 'Co-founder', 'It was founded by ' || n || ' and Asha Rao.', 2 FROM b WHERE f = 'A'
+UNION ALL SELECT doc_id, n, 'Co-founder and CEO', n || ', co-founder and CEO, said sales grew.', 1 FROM b WHERE f = 'N'
+""")
 def _(t):
     return people.people_mentions(_bios(t)).select("doc_id", "name", "role", "evidence", "position")
 

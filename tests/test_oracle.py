@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 LIBRARY = load()
 #: Queries without a twin: the others must have one.
 NO_TWIN = {
-    "corroborate", "event_twins", "explain_score", "page_text", "people_mentions", "resolve_entities", "stream_events", "stream_scores",
+    "corroborate", "event_twins", "explain_score", "page_text", "resolve_entities", "stream_events", "stream_scores",
 }
 
 

@@ -58,6 +58,30 @@ def test_people_patterns(spark):
                    (3, "Suhas Rajkumar", "Co-founder and CEO"), (4, "Divya Nair", "Co-founder")}
 
 
+def test_people_next_to_their_marks(spark):
+    far = "Filler words come here without end. " * 40
+    docs = spark.createDataFrame([
+        (1, "Backed by angels alongside Asha Rao, founder. Later Zed hired well. Asha Rao, founder, spoke.", "Zed"),  # the second place counts
+        (2, "Siraj Naviwala Senior Vice President and Our Team Aditya Oza Former CEO met.", "Zed"),
+        (3, "Asha Rao, founder. Asha Rao, founder and CEO, left. Vikram Mehta, CFO.", "Zed"),
+        (4, "Asha Rao, CEO of Other Works. Vikram Mehta, CTO, BlueMotors. Divya Nair, CFO of Zed.", "Zed"),
+        (5, "“It works.” Asha Rao, CEO, Customer: “Great”. Zed was started in 2020 by serial entrepreneurs Anil Sen & Mira Das", "Zed"),
+        (6, far + "Asha Rao, CEO, spoke. " + far, "Zed"), (7, None, "Zed"), (8, "", None), (9, "CEO Asha Rao", None),
+        (3, "Mira Das, COO.", "Zed"), (10, "\u0001Asha\u0002 Rao, VP, Mira Das", "Zed")], "doc_id long, text string, company string")
+    got = sorted((r["doc_id"], r["position"], r["name"], r["role"]) for r in people.people_mentions(docs).collect())
+    assert got == [
+        (1, 1, "Asha Rao", "Founder"), (2, 1, "Siraj Naviwala", "Senior Vice President"), (2, 2, "Aditya Oza", "Former CEO"),
+        (3, 1, "Asha Rao", "Founder and CEO"), (3, 1, "Mira Das", "COO"), (3, 2, "Vikram Mehta", "CFO"), (4, 1, "Divya Nair", "CFO"),
+        (5, 1, "Anil Sen", "Co-founder"), (5, 2, "Mira Das", "Co-founder"), (6, 1, "Asha Rao", "CEO"), (9, 1, "Asha Rao", "CEO"),
+        (10, 1, "Mira Das", "VP")]
+    said = {(r["doc_id"], r["name"]): r["evidence"] for r in people.people_mentions(docs, guards=()).collect()}
+    assert said[(6, "Asha Rao")] == "Asha Rao, CEO, spoke." and said[(1, "Asha Rao")] == "Backed by angels alongside Asha Rao, founder."
+    assert (4, "Vikram Mehta") in said
+    many = ". ".join(f"{a}{b} Rao, CEO" for a in "ABCD" for b in ("ana", "nil", "sha"))
+    text = spark.createDataFrame([(1, many, "Zed")], "doc_id long, text string, company string")
+    assert people.people_mentions(text).count() == 8 and people.people_mentions(text, per_doc=None).count() == 12
+
+
 def test_team_sizes(spark):
     assert _one(spark, lambda c: people.team_size(c)["n"], "a 40-member team", "team of about 1,200 works", "employs over 9 people", "1 employees") == [40, 1200, 9, None]
 
