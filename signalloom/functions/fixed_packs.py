@@ -70,6 +70,17 @@ ROLE_NAME_WORDS = "co-?founder|founder|ceo|minister|chairman|md|missile|ministry
 LISTED_WORDS = r"\b(listed|nse|bse|pre-ipo)\b"
 B2B_WORDS = "b2b|saas|developer|enterprise|api|infrastructure"
 
+# What is cut off a headline's first words, in order; True where the cut must leave a name.
+HEAD_TRIMS = [
+    (rf"(?i)^(?:{LEAD_INS})\s*[:|-]\s*", False),
+    (r"^\[[^\]]+\]\s*", False),
+    (r"^.*[:|]", False),
+    (rf"(?i)^.*\b(?:{DESCRIPTORS})\s+", True),
+    (r"['’]s$", False),
+    (r"(?i)^(?:the|india's|indian)\s+", False),
+    (r"(?i)\s+(?:ipo|group)$", False),
+]
+
 # --- fixed values: intel -----------------------------------------------------
 INTEL_REGION = r"\b(india|indian|rbi|reserve bank|npci|upi|dgft|sebi|gift (city|ifsc)|ifsca|rupee|inr|bengaluru|mumbai|delhi|piyush goyal|sitharaman|malhotra)\b|\brupees\b|₹"
 INTEL_NOISE = [

@@ -29,16 +29,16 @@ def detect_markets(text: Column) -> Column:
     return MARKET_PACK.all(text)
 
 
-def clean_head(head: Column) -> Column:
-    """The company name inside the words before a headline's verb."""
-    h = F.regexp_replace(head, rf"(?i)^(?:{fp.LEAD_INS})\s*[:|-]\s*", "")
-    h = F.trim(F.regexp_replace(h, r"^\[[^\]]+\]\s*", ""))
-    h = F.trim(F.regexp_replace(h, r"^.*[:|]", ""))
-    bare = F.trim(F.regexp_replace(h, r"(?i)^.*" + ascii_regex(rf"\b(?:{fp.DESCRIPTORS})") + r"\s+", ""))
-    h = F.when((bare != "") & bare.rlike("^[A-Za-z0-9]") & bare.rlike("[A-Z0-9]"), bare).otherwise(h)
-    h = F.regexp_replace(h, r"['’]s$", "")
-    h = F.regexp_replace(h, r"(?i)^(?:the|india's|indian)\s+", "")
-    return F.trim(F.regexp_replace(h, r"(?i)\s+(?:ipo|group)$", ""))
+def clean_head(head: Column, trims=fp.HEAD_TRIMS) -> Column:
+    """The company name inside the words before a headline's verb: ``trims`` are cut off one after another.
+
+    A trim that must leave a name is taken back where nothing with a capital or a digit is left.
+    """
+    h = head
+    for pattern, must_leave_name in trims:
+        rest = F.trim(F.regexp_replace(h, ascii_regex(pattern), ""))
+        h = F.when(rest.rlike("^[A-Za-z0-9]") & rest.rlike("[A-Z0-9]"), rest).otherwise(h) if must_leave_name else rest
+    return h
 
 
 def headline_leads(items: DataFrame, competitors=None, positive=None, enterprise=None, blocklist=None) -> DataFrame:

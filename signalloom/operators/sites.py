@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_packs as fp
+from ..functions import fixed_values as fv
 from ..functions.packs import RulePack
 from ..functions.regex import ascii_regex, extract, matches
 from ..functions.text import canonical_url, clip_text, collapse_space, decode_entities, domain_of, norm_name
@@ -161,13 +162,12 @@ def name_matches(name: Column, title: Column, description: Column, text: Column)
     return (n != "") & (F.contains(hay, n) | ((F.length(n) > 6) & F.contains(hay, part)))
 
 
-def candidate_domains(companies: DataFrame, n: int = 6) -> DataFrame:
-    """company_id, pos, domain: guesses from the name, best first."""
+def candidate_domains(companies: DataFrame, n: int | None = 6, shapes=fv.DOMAIN_SHAPES) -> DataFrame:
+    """company_id, name, pos, domain: guesses from the name by ``shapes``, best first, the first ``n`` (None: all)."""
     slug = F.regexp_replace(F.replace(F.lower("name"), F.lit("&"), F.lit("and")), "[^a-z0-9]+", "")
-    core = norm_name(F.col("name"))
-    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
-    cands = F.slice(F.array_distinct(F.array(c(slug, ".com"), c(slug, ".in"), c(slug, ".ai"), c(slug, ".io"), c(core, ".com"), c("get", slug, ".com"), c(slug, ".co"), c(slug, ".co.in"))), 1, n)
-    return companies.select("company_id", "name", F.posexplode(cands).alias("pos", "domain"))
+    stem = {"slug": slug, "core": norm_name(F.col("name"))}
+    guesses = F.array_distinct(F.array(*[F.concat(F.lit(before), stem[of], F.lit(after)) for before, of, after in shapes]))
+    return companies.select("company_id", "name", F.posexplode(guesses if n is None else F.slice(guesses, 1, n)).alias("pos", "domain"))
 
 
 def match_site_to_name(candidates: DataFrame, prints: DataFrame) -> DataFrame:
