@@ -221,6 +221,22 @@ LOOKALIKE_SEGMENTS = {
 }
 LOOKALIKE_DEFAULT = "startup"
 
+# --- fixed values: explanation of a score -------------------------------------
+# Slots of clauses; in each the first fact that holds speaks.
+WHY_TRIGGERS = [
+    [("round", "raised a {stage} round{of}{ago}"), ("capital", "raised fresh capital{of}{ago}"), ("listed", "is listed in a start-up directory")],
+    [("launched into", "launched into {markets}"), ("launched", "launched internationally"),
+     ("expands into", "is expanding into {markets}"), ("expands", "is expanding internationally")],
+    [("pained", "has publicly described payment friction")],
+]
+WHY_FITS = [
+    [("sells into", "already sells abroad ({markets})"), ("sells", "already sells abroad"), ("likely", "{sector} model usually bills foreign customers")],
+    [("foreign prices", "site prices in {currencies}")],
+    [("ships", "ships internationally")],
+    [("collects", "collects via {providers}"), ("platform", "runs on {platform}")],
+]
+WHY_AMOUNT, WHY_AGO, WHY_NOTHING, WHY_MARKETS = " of {x}", " {x}d ago", "shows cross-border potential", 3
+
 # --- fixed values: people in text --------------------------------------------
 PERSON_NAME = r"[A-Z][a-z]+(?:[ -](?:[A-Z][a-z]+|[A-Z]\.?(?=\s))){1,2}(?![\w-])"
 PERSON_ROLE = (

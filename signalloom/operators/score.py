@@ -8,6 +8,7 @@ that is column arithmetic.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,43 +170,51 @@ def score_company(companies: DataFrame, signals: DataFrame, as_of: Column, cfg:
     return c.select(*companies.columns, score.alias("score"), breakdown.alias("breakdown"))
 
 
-def explain_score(scored: DataFrame, signals: DataFrame, as_of: Column, cfg: ScoreConfig | None = None) -> DataFrame:
-    """``why``: one sentence from trigger events, fit and stack; prices in the home currency say nothing."""
-    home = (cfg or ScoreConfig()).home_currency
-    newest = lambda types, *cols: F.max_by(F.struct(*cols), F.when(F.col("type").isin(*types), F.struct("occurred_at", -F.col("signal_id"))))
-    facts = signals.groupBy("company_id").agg(
-        newest(["funding"], "stage", "amount_usd_m", "occurred_at").alias("f"),
-        F.max(F.col("type") == "directory").alias("listed"),
-        newest(["expansion", "export", "launch"], "type").alias("x"),
-        F.max(F.col("type") == "pain").alias("pained"),
-    )
-    c = scored.join(facts, "company_id", "left")
-    concrete = F.filter("markets", lambda m: m != fp.GLOBAL_MARKET)
-    three = F.array_join(F.slice(concrete, 1, 3), ", ")
-    days = round_half_up(F.greatest(F.lit(0.0), age_days(F.col("f.occurred_at"), as_of)))
-    raised = F.concat(
-        F.lit("raised "), F.when(F.col("f.stage").isNotNull(), F.concat(F.lit("a "), F.col("f.stage"), F.lit(" round"))).otherwise("fresh capital"),
-        F.when(F.col("f.amount_usd_m").isNotNull(), F.concat(F.lit(" of "), format_money(F.col("f.amount_usd_m")))).otherwise(""),
-        F.coalesce(F.concat(F.lit(" "), days.cast("string"), F.lit("d ago")), F.lit("")))
-    expands = F.concat(
-        F.when(F.col("x.type") == "launch", "launched").otherwise("is expanding"),
-        F.when(F.size(concrete) > 0, F.concat(F.lit(" into "), three)).otherwise(" internationally"))
-    triggers = F.array_compact(F.array(
-        F.when(F.col("f").isNotNull(), raised).when(F.col("listed"), "is listed in a start-up directory"),
-        F.when(F.col("x").isNotNull(), expands),
-        F.when(F.col("pained"), "has publicly described payment friction")))
-    fx = F.filter("currencies", lambda v: v != home)
-    pay = F.get(F.filter("breakdown", lambda p: p["key"] == "paymentStack"), 0)["points"]
-    abroad = F.when(F.size(concrete) > 0, F.concat(F.lit(" ("), three, F.lit(")"))).otherwise("")
-    fit = F.array_compact(F.array(
-        F.when(F.col("x").isNull() & (F.col("sells_intl") == "yes"), F.concat(F.lit("already sells abroad"), abroad))
-        .when(F.col("x").isNull() & (F.col("sells_intl") == "likely"), F.concat(F.col("sector"), F.lit(" model usually bills foreign customers"))),
-        F.when(F.size(fx) > 0, F.concat(F.lit("site prices in "), F.array_join(fx, "/"))),
-        F.when(F.coalesce("ships_abroad", F.lit(False)), "ships internationally"),
-        F.when((pay > 0) & (F.size("providers") > 0), F.concat(F.lit("collects via "), F.array_join("providers", ", ")))
-        .when(F.col("platform").isNotNull(), F.concat(F.lit("runs on "), F.col("platform")))))
-    lead = F.concat(F.col("name"), F.lit(" "), F.when(F.size(triggers) > 0, F.array_join(triggers, " and ")).otherwise("shows cross-border potential"), F.lit("."))
-    return c.withColumn("why", F.when(F.size(fit) > 0, F.concat(lead, F.lit(" Fit: "), F.array_join(fit, "; "), F.lit("."))).otherwise(lead)).drop("f", "listed", "x", "pained")
+def _filled(template: str, texts: dict[str, Column]) -> Column:
+    """A template's words with the columns its {names} stand for."""
+    pieces = [(F.lit(words), texts.get(name)) for words, name, _, _ in Formatter().parse(template)]
+    return F.concat(*[x for piece in pieces for x in piece if x is not None])
+
+
+def _clauses(slots, holds: dict[str, Column], texts: dict[str, Column]) -> Column:
+    """One clause per slot: that of the first fact that holds, none if none does."""
+    return F.array_compact(F.array(*[
+        F.coalesce(*[F.when(F.coalesce(holds[fact], F.lit(False)), _filled(words, texts)) for fact, words in slot]) for slot in slots]))
+
+
+def explain_score(scored: DataFrame, signals: DataFrame, as_of: Column, cfg: ScoreConfig | None = None,
+                  triggers=fp.WHY_TRIGGERS, fits=fp.WHY_FITS) -> DataFrame:
+    """Adds ``why``: what happened and why the company fits, as the clauses of two tables say it.
+
+    The newest funding and the newest expansion, export or launch count; prices in the home currency say nothing.
+    A company without signals gets the sentence for no trigger.
+    """
+    newest = lambda kinds, *cols: F.max_by(F.struct(*cols), F.when(F.col("type").isin(*kinds), F.struct("occurred_at", -F.col("signal_id"))))
+    c = scored.join(signals.groupBy("company_id").agg(
+        newest(["funding"], "stage", "amount_usd_m", "occurred_at").alias("raised"), newest(["expansion", "export", "launch"], "type").alias("move"),
+        F.max(F.col("type") == "directory").alias("listed"), F.max(F.col("type") == "pain").alias("pained")), "company_id", "left")
+    places, moved, raised = F.filter("markets", lambda m: m != fp.GLOBAL_MARKET), F.col("move").isNotNull(), F.col("raised").isNotNull()
+    foreign = F.filter("currencies", lambda x: x != (cfg or ScoreConfig()).home_currency)
+    paid = F.exists("breakdown", lambda p: (p["key"] == "paymentStack") & (p["points"] > 0))
+    launched, abroad = F.col("move.type") == "launch", F.size(places) > 0
+    dated = F.col("raised.occurred_at").isNotNull()  # greatest() would make no date day 0
+    days = F.when(dated, round_half_up(F.greatest(F.lit(0.0), age_days(F.col("raised.occurred_at"), as_of))))
+    optional = lambda template, x: F.coalesce(_filled(template, {"x": x}), F.lit(""))
+    texts = {
+        "name": F.col("name"), "sector": F.col("sector"), "platform": F.col("platform"), "stage": F.col("raised.stage"),
+        "of": optional(fp.WHY_AMOUNT, format_money(F.col("raised.amount_usd_m"))), "ago": optional(fp.WHY_AGO, days.cast("string")),
+        "markets": F.array_join(F.slice(places, 1, fp.WHY_MARKETS), ", "), "currencies": F.array_join(foreign, "/"),
+        "providers": F.array_join("providers", ", ")}
+    holds = {
+        "round": raised & F.col("raised.stage").isNotNull(), "capital": raised, "listed": F.col("listed"),
+        "launched into": launched & abroad, "launched": launched, "expands into": moved & abroad, "expands": moved, "pained": F.col("pained"),
+        "sells into": ~moved & (F.col("sells_intl") == "yes") & abroad, "sells": ~moved & (F.col("sells_intl") == "yes"),
+        "likely": ~moved & (F.col("sells_intl") == "likely"), "foreign prices": F.size(foreign) > 0, "ships": F.col("ships_abroad"),
+        "collects": paid & (F.size("providers") > 0), "platform": F.col("platform").isNotNull()}
+    c = once(c, happened=_clauses(triggers, holds, texts), suits=_clauses(fits, holds, texts))
+    story = F.when(F.size("happened") > 0, F.array_join("happened", " and ")).otherwise(fp.WHY_NOTHING)
+    why = F.concat(F.col("name"), F.lit(" "), story, F.lit("."), F.when(F.size("suits") > 0, F.concat(F.lit(" Fit: "), F.array_join("suits", "; "), F.lit("."))).otherwise(""))
+    return c.withColumn("why", why).drop("raised", "move", "listed", "pained", "happened", "suits")
 
 
 def rescore_all(companies: DataFrame, signals: DataFrame, as_of: Column, cfg: ScoreConfig, learned: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Hand-written cases: text, people, scores, sinks, streams and plans."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,31 @@ def test_ascii_boundaries(spark):
     assert _one(spark, lambda c: matches(c, r"\bcaf\b"), "caféx", "a caf b", "cafe") == [True, True, False]
 
 
+def test_explanations(spark):
+    cols = ("company_id long, name string, sector string, markets array<string>, sells_intl string, currencies array<string>, ships_abroad boolean, "
+            "providers array<string>, platform string, breakdown array<struct<key:string,points:int>>")
+    row = lambda i, markets=(), sells=None, cur=(), ships=None, prov=(), plat=None, pay=0: (
+        i, f"C{i}", "SaaS", list(markets), sells, list(cur), ships, list(prov), plat, [("paymentStack", pay)])
+    scored = spark.createDataFrame([
+        row(1, ["US", "Global", "UAE", "UK", "EU"], "yes", ["INR", "USD", "EUR"], True, ["Stripe", "PayU"], "Shopify", 5),
+        row(2, ["Global"], "yes", ["INR"], None, [], "Shopify", 5), row(3, [], "likely", [], False, ["Stripe"], "Wix", 0),
+        row(4), row(5, ["US"], "yes"), row(6, ["US"], "yes")], cols)
+    at = datetime.datetime(2024, 1, 11)
+    signals = spark.createDataFrame([
+        (1, 1, "funding", datetime.datetime(2024, 1, 1), "Seed", 5.0), (2, 1, "funding", datetime.datetime(2023, 1, 1), "Series A", None),
+        (3, 1, "directory", at, None, None), (4, 1, "pain", at, None, None), (5, 1, "launch", at, None, None),
+        (6, 1, "export", datetime.datetime(2023, 1, 1), None, None), (7, 2, "funding", None, None, None), (8, 3, "directory", at, None, None),
+        (9, 6, "expansion", at, None, None)], "signal_id long, company_id long, type string, occurred_at timestamp, stage string, amount_usd_m double")
+    got = {r["company_id"]: r["why"] for r in score.explain_score(scored, signals, F.lit(at)).collect()}
+    assert got == {
+        1: "C1 raised a Seed round of $5.0M 10d ago and launched into US, UAE, UK and has publicly described payment friction. "
+           "Fit: site prices in USD/EUR; ships internationally; collects via Stripe, PayU.",
+        2: "C2 raised fresh capital. Fit: already sells abroad; runs on Shopify.",
+        3: "C3 is listed in a start-up directory. Fit: SaaS model usually bills foreign customers; runs on Wix.",
+        4: "C4 shows cross-border potential.", 5: "C5 shows cross-border potential. Fit: already sells abroad (US).",
+        6: "C6 is expanding into US."}
+
+
 def test_people_patterns(spark):
     docs = spark.createDataFrame([
         (1, "Zed was founded by Asha Rao and Vikram Mehta. Saket Saurav, co-founder and CEO, said so.", "Zed"),
