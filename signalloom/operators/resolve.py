@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as fv
 from ..functions.similarity import _jaro_winkler, jaro_winkler
 from ..functions.text import norm_name
-from .state import cut
+from .state import cut, once
 
 
 # ---------------------------------------------------------------- single tiers
@@ -85,17 +85,24 @@ def match_fuzzy(mentions: DataFrame, companies: DataFrame, floor_transpositions:
 
 
 def match_tiers(mentions: DataFrame, companies: DataFrame) -> DataFrame:
-    """Domain, then exact name, then alias, then fuzzy; null company when nothing matches."""
+    """Domain, then exact name, then alias, then fuzzy; null company when nothing matches.
+
+    The tiers see distinct (name key, domain) pairs only.  Rows that share a mention_id share the best match of them.
+    """
+    keys = cut(mentions.select("norm", "domain").distinct())
     tiers = {
-        "domain": match_domain(mentions, companies), "exact": match_exact(mentions, companies),
-        "alias": match_alias(mentions, companies), "fuzzy": match_fuzzy(mentions, companies),
+        "domain": match_domain(keys, companies), "exact": match_exact(keys, companies),
+        "alias": match_alias(keys, companies), "fuzzy": match_fuzzy(keys, companies),
     }
     found = None
     for rank, (name, df) in enumerate(tiers.items()):
-        one = df.select("mention_id", F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("tier"), "company_id").alias("m"))
+        one = df.select("norm", "domain", F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("tier"), "company_id").alias("m"))
         found = one if found is None else found.unionByName(one)
-    best = found.groupBy("mention_id").agg(F.min("m").alias("m")).select("mention_id", "m.tier", "m.company_id")
-    return mentions.join(best, "mention_id", "left")
+    best = cut(found.groupBy(F.col("norm").alias("_norm"), F.col("domain").alias("_domain")).agg(F.min("m").alias("m")))
+    same = F.col("norm").eqNullSafe(F.col("_norm")) & F.col("domain").eqNullSafe(F.col("_domain"))
+    of_id = F.when(F.col("mention_id").isNotNull(), F.min("m").over(Window.partitionBy("mention_id")))
+    matched = mentions.join(best, same, "left").withColumn("m", of_id)
+    return matched.select("mention_id", *[c for c in mentions.columns if c != "mention_id"], "m.tier", "m.company_id")
 
 
 # ---------------------------------------------------------------- whole resolution
@@ -144,7 +151,8 @@ def resolve_entities(mentions: DataFrame) -> DataFrame:
     and no domain gives what ``_scan`` gives.  Rounds are aggregates and joins, and no set of groups is gathered; their number
     is that of the longest chain of decisions.  A company id always is the id of a company's first mention.
     """
-    m = mentions.select("mention_id", norm_name(F.col("name")).alias("norm"), F.when(F.col("domain") != "", F.col("domain")).alias("domain")).where(F.col("norm") != "")
+    m = once(mentions.select("mention_id", "name", F.when(F.col("domain") != "", F.col("domain")).alias("domain")), norm=norm_name(F.col("name")))
+    m = m.drop("name").where(F.col("norm") != "")
     groups = cut(m.groupBy("norm", "domain").agg(F.min("mention_id").alias("ord")))
     names = cut(groups.groupBy("norm").agg(F.min("ord").alias("ord")))
     # A short name is never l, so its pairs stand in one direction only.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.text import norm_name
 from ..operators import merge, resolve, twins
+from ..operators.state import once
 from .bindings import DAY_US
 from .gate_plans import norm_sql
 from .registry import query
@@ -26,7 +27,7 @@ _KNOWN_SQL = f"known AS (SELECT min(p_partkey) AS company_id, {norm_sql('p_name'
 
 def mentions(t):
     m = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(*[f"{e} AS {c}" for c, e in _MENTION])
-    return m.distinct().withColumn("norm", norm_name(F.col("name")))
+    return once(m.distinct(), norm=norm_name(F.col("name")))
 
 
 def known(t):
