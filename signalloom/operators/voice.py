@@ -9,7 +9,7 @@ from ..functions import fixed_packs as fp
 from ..functions import fixed_values as fv
 from ..functions.numeric import clamp, older_than
 from ..functions.packs import RulePack
-from ..functions.regex import ascii_regex, extract, matches, words
+from ..functions.regex import ascii_regex, edged, extract, matches, words
 from .gates import item_text
 from .state import once
 
@@ -26,12 +26,12 @@ def band_of(score: Column) -> Column:
 def focus_text(title: Column, text: Column, core: str = fp.POST_CORE) -> Column:
     """The title and the sentences that mention the core subject."""
     sentences = F.split(text, r"(?<=[.?!])\s+|\n+")
-    pattern = "(?i)" + ascii_regex(core)
-    return F.concat_ws(" ", title, F.array_join(F.filter(sentences, lambda s: s.rlike(pattern)), " "))
+    about = edged(text, lambda p: F.filter(sentences, lambda s: s.rlike("(?i)" + p)), core)
+    return F.concat_ws(" ", title, F.array_join(about, " "))
 
 
 def core_hits(text: Column, core: str = fp.POST_CORE) -> Column:
-    return F.regexp_count(text, F.lit("(?i)" + ascii_regex(core)))
+    return edged(text, lambda p: F.regexp_count(text, F.lit("(?i)" + p)), core)
 
 
 def voice_gate(posts: DataFrame, core: str = fp.POST_CORE, region: str = fp.POST_REGION,
