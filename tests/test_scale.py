@@ -88,3 +88,31 @@ def test_packs_over_any_text(spark):
     assert fp.SECTORS
 
 
+
+
+def test_stories_of_a_busy_week_are_compared_in_bulk(spark):
+    """25,000 stories of one category and fortnight with words of a small vocabulary: candidates by word are far more than stories."""
+    from signalloom.operators import dedup
+
+    n, day = 25_000, 86_400_000_000
+    draw = lambda k: F.pmod(F.xxhash64("ord", F.lit(k)), F.lit(1_000_000)) / 1_000_000
+    words = F.array_distinct(F.array(*[F.concat(F.lit("word"), F.floor(F.pow(draw(k), 2) * 12000).cast("string")) for k in range(30)]))
+    stories = spark.range(n).select(F.col("id").alias("ord")).select(
+        "ord", F.lit("m").alias("category"), F.concat(F.lit("t"), (F.col("ord") % 20).cast("string")).alias("topic"), (F.col("ord") * F.lit(14 * day // n)).alias("ts_us"), words.alias("tokens"))
+    began = time.time()
+    got = {r["ord"]: r["leader"] for r in dedup.story_leaders(stories).collect()}
+    assert time.time() - began < 40
+    assert len(got) == n and all(got[leader] == leader <= k for k, leader in got.items())
+
+
+def test_stories_settle_in_rounds(spark):
+    """Neither the size of parts nor the number of pairs that are listed changes a leader."""
+    from signalloom.operators.dedup import _one_story
+    from signalloom.operators.overlap import dated_leaders
+
+    word = lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("ord", F.lit(k)), F.lit(25)).cast("string"))
+    sets = spark.range(150).select(F.col("id").alias("ord")).select(
+        F.struct("ord").alias("ord"), F.lit("m").alias("category"), F.lit(None).cast("string").alias("topic"), F.floor(F.col("ord") / 2).alias("ts_us"), F.array_distinct(F.array(*[word(k) for k in range(5)])).alias("tokens"))
+    leaders = lambda **x: sorted(dated_leaders(sets, _one_story, 30, **x).collect())
+    plain = leaders(part=1000)
+    assert plain == leaders(part=9, listed=40, one_task=10) and len({r["leader"] for r in plain}) > 5
