@@ -116,3 +116,32 @@ def test_stories_settle_in_rounds(spark):
     leaders = lambda **x: sorted(dated_leaders(sets, _one_story, 30, **x).collect())
     plain = leaders(part=1000)
     assert plain == leaders(part=9, listed=40, one_task=10) and len({r["leader"] for r in plain}) > 5
+
+
+def test_marks_pass_over_places_that_begin_none(spark):
+    """The scan for roles finds what its alternatives alone find, in less time."""
+    bare = f"{fp.FOUNDED_BY}|{people._CHAIN}"
+    said = [
+        "Assistant Vice President", "senior VP - Sales and Growth", "executive VP, Asia", "Vice President", "Co-founder", "cofounder", "coFounder", "founder", "CEO", "CTO", "COO", "CFO", "CMO", "CPO",
+        "CBO", "chief Risk Officer", "Managing Director", "MD", "head of Sales Asia", "VP, Sales", "president", "Chairman", "Founder & CEO - HR", "founded by ", "Co-founded in 2019 by ", "started by ",
+        "set up by ", "Established by ", "xCEOx", "Macho chef, posed safe mad hero", ""]
+    marked = lambda p: F.regexp_replace("t", p, "<$0>")
+    rows = spark.createDataFrame([(f"a {x} b {x}",) for x in said], "t string").select(marked(bare), marked(people._MARK)).collect()
+    assert all(a == b for a, b in rows) and sum("<" in a for a, _ in rows) == len(said) - 2
+    text = spark.range(0, 3000, 1, 1).select(F.repeat(F.concat(F.lit("The firm makes gears and reports steady sales "), "id"), 60).alias("t")).cache()
+    text.count()
+
+    def seconds(p):
+        began = time.time()
+        text.where(F.col("t").rlike(p)).count()
+        return time.time() - began
+
+    seconds(bare), seconds(people._MARK)
+    assert seconds(people._MARK) < 0.7 * seconds(bare)
+
+
+def test_stop_words_are_found_by_their_first_letter(spark):
+    from signalloom.functions.regex import one_of
+
+    names = spark.createDataFrame([(w,) for w in [*fp.NOT_A_NAME, "Asha", "Foundery", "C", "Co-", "co"]], "t string")
+    assert names.where(F.col("t").rlike(f"^{one_of(fp.NOT_A_NAME)}$")).count() == len(fp.NOT_A_NAME)
