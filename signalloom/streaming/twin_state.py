@@ -1,4 +1,4 @@
-"""Event twins as keyed streaming state: one entry per company and type, whose cost does not grow with history."""
+"""Event twins as keyed streaming state: one key per company with an entry per type, whose cost does not grow with history."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ HISTORY = 64
 EVENT = "signal_id long, url string, stage string, amount_usd_m double, occurred_us long, tokens array<string>"
 FIELDS = [f.split()[0] for f in EVENT.split(", ")]
 KEYS = ["company_id", "type"]
+_DIRECTORY = json.dumps("directory")
 _OUT = Row("company_id", "type", *FIELDS, "stored_id", "counted", "beyond")
 OUTPUT = f"company_id long, type string, {EVENT}, stored_id long, counted boolean, beyond boolean"
 
@@ -45,9 +46,10 @@ def fold(kind: str, memory: dict, recent: list[dict], new: list[dict], history:
 class TwinState(StatefulProcessor):
     """Per company and type: the twin memory, the last ``history`` events behind it, and where these begin.
 
+    A company's types are read and written together, since a call to the state costs more than the judging of an event.
     An event that comes late but among the open ones is folded in at its place and those behind it are judged again.  One from before
-    is passed on as ``beyond``, and so are all later events of its key, to be judged from the log.  Lists and memories are forgotten
-    30 days after the key's last event (directories: never); a key that comes back then is ``beyond`` too, so nothing is
+    is passed on as ``beyond``, and so are all later events of its company and type, to be judged from the log.  What is held of a type is forgotten
+    30 days after its last event (directories: never); a type that comes back then is ``beyond`` too, so nothing is
     judged from a memory that is gone.
     """
 
@@ -55,37 +57,43 @@ class TwinState(StatefulProcessor):
         self.history, self.ttl = history, ttl_days * _DAY_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "floor long, last long, beyond boolean")
-        self.memories = {
-            False: (handle.getValueState("memory", "json string", ttlDurationMs=self.ttl), handle.getListState("recent", EVENT, ttlDurationMs=self.ttl)),
-            True: (handle.getValueState("directory_memory", "json string"), handle.getListState("directory_recent", EVENT)),
-        }
+        # Types that have been seen, and whether they are beyond; by type (as JSON, for null) what is held, without and with directories.
+        self.place = handle.getValueState("place", "json string")
+        self.held = {False: handle.getValueState("held", "json string", ttlDurationMs=self.ttl), True: handle.getValueState("directory", "json string")}
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        company, kind = json.loads(key[0])
-        company = None if company is None else int(company)
-        memory_state, recent_state = self.memories[kind == "directory"]
-        new = [{f: r[f] for f in FIELDS} for r in rows]
-        floor, last, beyond = self.place.get() or (None, None, False)
-        recent = [dict(zip(FIELDS, r)) for r in recent_state.get()] if last is not None and not beyond else []
-        forgotten = last is not None and not recent
-        if beyond or forgotten or floor is not None and min(e["signal_id"] for e in new) <= floor:
-            if not beyond:
-                memory_state.clear()
-                recent_state.clear()
-                self.place.update((floor, last, True))
-            for e in new:
-                yield _OUT(company, kind, *(e[f] for f in FIELDS), None, None, True)
-            return
-        memory = json.loads((memory_state.get() or ("{}",))[0]) if floor is not None else {}
-        out, memory, opened = fold(kind, memory, recent, new, self.history)
-        closed = [e["signal_id"] for e in recent + new if e["signal_id"] < opened[0]["signal_id"]]
-        if closed:
-            memory_state.update((json.dumps(memory),))
-        recent_state.put([tuple(e[f] for f in FIELDS) for e in opened])
-        self.place.update((max(closed, default=floor), max(e["signal_id"] for e in recent + new), False))
-        for e in out:
-            yield _OUT(company, kind, *(e[f] for f in FIELDS), e["stored_id"], e["counted"], False)
+        company = int(key[0]) if key[0] else None
+        new: dict[str, list[dict]] = {}
+        for r in rows:
+            new.setdefault(json.dumps(r["type"]), []).append({f: r[f] for f in FIELDS})
+        now = timer_values.getCurrentProcessingTimeInMs()
+        place = json.loads((self.place.get() or ("{}",))[0])
+        before = dict(place)
+        for lasting in sorted({t == _DIRECTORY for t in new}):
+            state = self.held[lasting].get() if before else None
+            held = json.loads(state[0]) if state else {}
+            if not lasting:
+                held = {t: x for t, x in held.items() if x["seen"] + self.ttl > now}
+            for t in [t for t in new if (t == _DIRECTORY) == lasting]:
+                kind = json.loads(t)
+                x = held.pop(t, None if t in before else {"floor": None, "memory": {}, "recent": []})
+                if x is None or before.get(t) or x["floor"] is not None and min(e["signal_id"] for e in new[t]) <= x["floor"]:
+                    place[t] = True
+                    for e in new[t]:
+                        yield _OUT(company, kind, *(e[f] for f in FIELDS), None, None, True)
+                    continue
+                out, memory, opened = fold(kind, x["memory"], x["recent"], new[t], self.history)
+                closed = [e["signal_id"] for e in x["recent"] + new[t] if e["signal_id"] < opened[0]["signal_id"]]
+                held[t] = {"floor": max(closed, default=x["floor"]), "memory": memory, "recent": opened, "seen": now}
+                place[t] = False
+                for e in out:
+                    yield _OUT(company, kind, *(e[f] for f in FIELDS), e["stored_id"], e["counted"], False)
+            if held:
+                self.held[lasting].update((json.dumps(held),))
+            elif state:
+                self.held[lasting].clear()
+        if place != before:
+            self.place.update((json.dumps(place),))
 
     def close(self) -> None:
         pass
@@ -97,6 +105,6 @@ def judged(signals: DataFrame, history: int = HISTORY, ttl_days: int = fv.TWIN_D
         F.col("company_id").cast("long").alias("company_id"), F.col("type"), F.col("signal_id").cast("long").alias("signal_id"), "url", "stage",
         F.col("amount_usd_m").cast("double").alias("amount_usd_m"), F.col("occurred_us").cast("long").alias("occurred_us"), token_list(F.col("title")).alias("tokens"),
     )
-    # Keys of state must not be null: a null company is told apart in a JSON array.
-    key = F.to_json(F.array(*[F.col(k).cast("string") for k in KEYS]), {"ignoreNullFields": "false"})
+    # Keys of state must not be null.
+    key = F.coalesce(F.col("company_id").cast("string"), F.lit(""))
     return rows.withColumn("key", key).groupBy("key").transformWithState(TwinState(history, ttl_days), OUTPUT, "Append", "ProcessingTime")
