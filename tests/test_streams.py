@@ -224,3 +224,54 @@ def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch, few_p
     monkeypatch.setattr(Store, "write", write)
     run()
     assert store.versions() == dict.fromkeys(write_path.TABLES, 2) and _state(seen()) == _state(full)
+
+
+class _Value:
+    """A value of keyed state, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.update(None)
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, schema, ttlDurationMs=None):
+        return self.states.setdefault(name, _Value())
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def test_types_of_a_company_share_calls_and_are_forgotten_one_by_one():
+    from signalloom.streaming.twin_state import TwinState
+
+    def event(i, kind):
+        return {"signal_id": i, "type": kind, "url": f"u{i}", "stage": None, "amount_usd_m": None, "occurred_us": 0, "tokens": ["a", "b"]}
+
+    day, handle, state = 86_400_000, _Handle(), TwinState()
+    state.init(handle)
+    judge = lambda at, *events: {r["signal_id"]: (r["stored_id"], r["beyond"]) for r in state.handleInputRows(("7",), iter(events), _Now(at))}
+    kinds = ["funding", "launch", "pain", None, "directory"]
+    first = judge(0, *[event(i, k) for i, k in enumerate(kinds)])
+    assert first == {i: (i, False) for i in range(5)} and sum(s.calls for s in handle.states.values()) <= 4
+    assert judge(20 * day, event(10, "launch")) == {10: (1, False)}
+    # 31 days after its last event funding is forgotten, launch is not, and directories never are.
+    assert judge(31 * day, event(20, "funding"), event(21, "launch"), event(22, "directory")) == {20: (None, True), 21: (1, False), 22: (4, False)}
+    assert judge(32 * day, event(30, "funding"), event(31, "launch")) == {30: (None, True), 31: (1, False)}
