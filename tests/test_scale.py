@@ -145,3 +145,26 @@ def test_stop_words_are_found_by_their_first_letter(spark):
 
     names = spark.createDataFrame([(w,) for w in [*fp.NOT_A_NAME, "Asha", "Foundery", "C", "Co-", "co"]], "t string")
     assert names.where(F.col("t").rlike(f"^{one_of(fp.NOT_A_NAME)}$")).count() == len(fp.NOT_A_NAME)
+
+
+def test_stories_are_compared_with_kept_ones(spark, monkeypatch):
+    """Blocks give the leaders that all pairs give, and what a block is compared with does not grow with repeats."""
+    from signalloom.operators import overlap
+    from signalloom.operators.dedup import _one_story
+
+    word = lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("ord", F.lit(k)), F.lit(60)).cast("string"))
+    sets = spark.range(400).select(F.col("id").alias("ord")).select(
+        "ord", F.element_at(F.array(F.lit("m"), F.lit("x"), F.lit(None)), F.pmod("ord", F.lit(3)).cast("int") + 1).alias("category"), F.concat(F.lit("t"), F.pmod("ord", F.lit(4)).cast("string")).alias("topic"),
+        F.when(F.col("ord") % 50 > 0, F.floor(F.col("ord") / 2)).alias("ts_us"), F.array_distinct(F.array(*[word(k) for k in range(6)])).alias("tokens"))
+    seen = []
+    monkeypatch.setattr(overlap, "unrepeated", lambda *a: seen.append(a) or 1 / 0)
+    got = {r["ord"]: r["leader"] for r in overlap.dated_leaders(sets, _one_story, 40, part=4, listed=0).collect()}
+    rows, kept, want = sets.orderBy("ord").collect(), [], {}
+    for r in rows:
+        fits = lambda k: k["category"] == r["category"] and r["ts_us"] - k["ts_us"] < 40 and _one_story(len({*k["tokens"]} & {*r["tokens"]}), min(len(k["tokens"]), len(r["tokens"])), k["topic"] == r["topic"])  # noqa: E731, B023
+        alone = r["category"] is None or r["ts_us"] is None
+        leader = None if alone else next((k["ord"] for k in kept if fits(k)), None)
+        want[r["ord"]] = r["ord"] if leader is None else leader
+        if leader is None and not alone:
+            kept.append(r)
+    assert got == want and not seen and 20 < len(kept) < 250

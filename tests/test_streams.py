@@ -275,3 +275,30 @@ def test_types_of_a_company_share_calls_and_are_forgotten_one_by_one():
     # 31 days after its last event funding is forgotten, launch is not, and directories never are.
     assert judge(31 * day, event(20, "funding"), event(21, "launch"), event(22, "directory")) == {20: (None, True), 21: (1, False), 22: (4, False)}
     assert judge(32 * day, event(30, "funding"), event(31, "launch")) == {30: (None, True), 31: (1, False)}
+
+
+def test_urls_share_calls_of_the_state(spark, tmp_path, few_partitions):
+    """The state's Python is called per group of urls or titles, not per text, and a batch leaves a file or two per bucket and week."""
+    import glob
+
+    from signalloom.streaming import jobs, story_state
+
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(story_state.FirstOfUrl):
+        def handleInputRows(self, key, rows, timer_values):
+            calls.add(1)
+            return super().handleInputRows(key, rows, timer_values)
+
+    day, n = 86_400_000_000, 3000
+    rows = [(i, "m", "a", f"title {i}", f"u{i}", (i % 30) * day) for i in range(n)]
+    stream = _feed(spark, str(tmp_path / "in"), [rows], story_state.STORY)
+    before = story_state.FirstOfUrl
+    story_state.FirstOfUrl = Counted
+    try:
+        jobs.stream_coverage(stream, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+    finally:
+        story_state.FirstOfUrl = before
+    assert 0 < calls.value <= story_state.GROUPS < n / 2
+    for log, most in (("arrived", jobs.BUCKETS * jobs.BUCKET_FILES), ("told", 6)):
+        assert 0 < len(glob.glob(f"{tmp_path}/out/{log}/batch=0/*/*.parquet")) <= most
