@@ -302,3 +302,26 @@ def test_urls_share_calls_of_the_state(spark, tmp_path, few_partitions):
     assert 0 < calls.value <= story_state.GROUPS < n / 2
     for log, most in (("arrived", jobs.BUCKETS * jobs.BUCKET_FILES), ("told", 6)):
         assert 0 < len(glob.glob(f"{tmp_path}/out/{log}/batch=0/*/*.parquet")) <= most
+
+
+def test_a_batch_of_one_file_keeps_all_cores_busy_and_names_are_taken_once(spark, tmp_path, monkeypatch, few_partitions):
+    """A batch of one split is judged and extracted by as many tasks as there are cores, and its headlines are read for names once."""
+    import glob
+
+    from signalloom.operators import extract
+    from signalloom.streaming import jobs, write_path
+
+    calls, leads = [], extract.headline_leads
+    counted = lambda items, *a, **k: calls.append(items.columns) or leads(items, *a, **k)
+    monkeypatch.setattr(extract, "headline_leads", counted)
+    monkeypatch.setattr(write_path, "headline_leads", counted)
+    items, out = _headlines(400, 11), str(tmp_path / "out")
+    stream = _feed(spark, str(tmp_path / "in"), [items], ITEM)
+    jobs.stream_process(stream, out, str(tmp_path / "query"), once=True, as_of=F.lit("2001-01-01").cast("timestamp")).awaitTermination()
+    assert len(calls) == 1 and {"url", "published_us"} <= set(calls[0])
+    cores = spark.sparkContext.defaultParallelism
+    for log in ("passed", "mentions"):
+        assert len(glob.glob(f"{out}/{log}/batch=0/*.parquet")) == cores > 1
+    ids = lambda df: sorted(r[0] for r in df.select("item_id").collect())
+    state = jobs.state_store(spark, out).log("mentions", spark.read.parquet(f"{out}/state/mentions/version=0").drop("bucket").schema)
+    assert ids(spark.read.parquet(f"{out}/mentions/batch=0")) == ids(state) == list(range(400))

@@ -254,3 +254,56 @@ def test_corroborate_merges_repeats_into_the_stored_event(spark):
     assert (one["title"], one["corroborations"], one["stage"], one["amount_usd_m"], one["confidence"], one["occurred_us"]) == ("a", 3, "Seed", 3.0, 0.9, 10)
     assert (one["tags"], one["investors"], one["extra_urls"]) == (["x", "y"], ["P", "Q"], ["u2", "u3"])
     assert (got[4]["corroborations"], got[4]["extra_urls"]) == (1, None) and set(got) == {1, 4}
+
+
+def _ways_to_say(pattern, rnd):
+    """A text that comes near to what a pattern looks for."""
+    import re
+
+    pick = lambda m: rnd.choice(m.group(1).split("|"))
+    s, old = re.sub(r"\\b", rnd.choice(["", "", " "]), pattern).replace("?:", ""), None
+    while s != old:
+        s, old = re.sub(r"\(([^()]*)\)", pick, s), s
+    s = rnd.choice(s.split("|"))
+    s = re.sub(r"\[\^?([^\]])[^\]]*\]", r"\1", s).replace("\\s", " ").replace("\\d", "7").replace("\\w", "x").replace("\\", "")
+    s = re.sub(r"\.\{[^}]*\}|\.\*", " one ", s)
+    return re.sub(r"(.)\?", lambda m: rnd.choice(["", m.group(1)]), s).replace("*", "").replace("+", "")
+
+
+def test_dispatched_patterns_find_what_the_plain_ones_find(spark):
+    import random
+
+    from signalloom.functions import fixed_packs as fp
+    from signalloom.functions import fixed_values as fv
+    from signalloom.functions.regex import dispatched, phrases, plain_words
+
+    rnd = random.Random(5)
+    patterns = [*fp.GATE_RULES.values(), *fp.SECTORS.values(), *fp.MARKETS.values(), *fp.INTEL_NOISE, *[t[3] for t in fp.TOPICS], *fp.COMPETITOR_ACTIONS.values(),
+                fp.INTEL_REGION, fp.COMPETITOR_STORY, fp.IMPORT_EXCEPT, fp.LISTED_WORDS, phrases(fv.COMPETITORS), "|".join(f"(?:{p})" for p in fp.SECTORS.values()), r"a?b|(x|y)?z+|(q(r|s){2}t)"]
+    texts = ["", "é", "₹ 5", "the usa's US-market", "exported", "qrst", "zz", "bb"]
+    for p in patterns:
+        for _ in range(6):
+            near = _ways_to_say(p, rnd)
+            texts += [near, f"Why {near.upper()} now", f"x{near}y {near}s", f"é{near}", near[1:], near[:-1]]
+    df = spark.createDataFrame([(x,) for x in texts], "s string").withColumn("s", plain_words(F.col("s")))
+    assert all(map(dispatched, patterns))
+    pairs = [F.sum((F.col("s").rlike("(?i)" + p) != F.col("s").rlike("(?i)" + dispatched(p))).cast("int")) for p in patterns]
+    hits = [F.sum(F.col("s").rlike("(?i)" + p).cast("int")) for p in patterns]
+    wrong, found = df.select(*pairs).first(), df.select(*hits).first()
+    assert not any(wrong) and sum(n > 0 for n in found) > 0.9 * len(patterns)
+    # What is not understood stays as it is.
+    assert [dispatched(p) for p in (r"(a)\1", r"(?i)a", r"\p{L}", "[a&&[b]]", "a*", ".x", "[^a]b")] == [None] * 7
+
+
+def test_packs_of_phrases_and_money_keep_their_words(spark):
+    from signalloom.functions.packs import RulePack
+    from signalloom.functions.text import parse_money, raise_amount
+
+    df = spark.createDataFrame([(x,) for x in ["GLOBAL reach", "globally", "éUAE", "the uae, Us Market", "", None]], "s string")
+    pack = RulePack.of_phrases(["global", "UAE", "US market", "café"])
+    assert [r[0] for r in df.select(pack.all(F.col("s"))).collect()] == [["global"], [], ["UAE"], ["UAE", "US market"], [], []]
+    assert [r[0] for r in df.select(pack.first(F.col("s"), "none")).collect()] == ["global", "none", "UAE", "UAE", "none", "none"]
+    m = spark.createDataFrame([(x,) for x in ["us$ 5 mn", "Rs. 83 crore", "12 lakh rupees", "cars 5", "valued at $9 mn, raised inr 40 crore", "$", "7 million usd", None]], "s string")
+    got = [(r[0], r[1]) for r in m.select(parse_money(F.col("s")), raise_amount(F.col("s"))).collect()]
+    assert [a for _, a in got] == ["us$ 5 mn", "Rs. 83 crore", None, None, "inr 40 crore", None, None, None]
+    assert [x is not None for x, _ in got] == [True, True, True, False, True, False, True, False] and got[0][0] == 5.0
