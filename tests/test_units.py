@@ -324,3 +324,13 @@ def test_a_gate_without_hits_decides_alike(spark):
     read = lambda df: sorted(map(str, df.select(*same, F.when(F.col("route") == "intel", F.col("verdict"))).collect()))
     assert read(whole) == read(lean) and len({r["reason"] for r in lean.select("reason").collect()}) >= 5
     assert lean.where("category <> 'intel' AND verdict IS NOT NULL").isEmpty() and not lean.where("route = 'intel' AND verdict IS NOT NULL").isEmpty()
+
+
+def test_marks_without_a_name_make_no_mention(spark):
+    """A role next to no name is null at once, so that nothing more is read around it; people are found as before."""
+    text = "The CEO spoke. Asha Rao, co-founder and CEO, said CFO Vikram Mehta left. The firm hired a president."
+    docs = spark.createDataFrame([(1, text, "Acme")], "doc_id long, text string, company string")
+    marks = people._marks(docs, 400).select(*[F.transform("marks", f).alias(k) for k, f in (("before", people._name_first), ("behind", people._role_first))]).first()
+    assert [m and m["who"] for m in marks["before"]] == [None, "Asha Rao", None, None]
+    assert [m and m["who"] for m in marks["behind"]] == [None, None, "Vikram Mehta", None]
+    assert [(r["name"], r["role"]) for r in people.people_mentions(docs).collect()] == [("Asha Rao", "Co-founder and CEO"), ("Vikram Mehta", "CFO")]
